@@ -201,6 +201,12 @@ class WeeklySummary:
         return weekly_cells(self.stock, self.purchase_w, self.transfer_w, self.sales_w,
                             self.brand_from_sales)
 
-    def summary(self) -> DataFrame:
+    def summary(self, materialized: bool = False) -> DataFrame:
+        """The weekly summary table; ``materialized=True`` checkpoints it (it
+        feeds several downstream jobs, as the summary file does)."""
         items = dedup_on_key(self.t.item_master, "item_no")
-        return attach_dimensions(self.cells(), self.t.store_master, items, self.t.area_codes)
+        out = attach_dimensions(self.cells(), self.t.store_master, items, self.t.area_codes)
+        if materialized:
+            from ..session import materialize
+            out = materialize(out)
+        return out

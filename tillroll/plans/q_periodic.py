@@ -13,7 +13,7 @@ PERIOD_WEEKS = 12
 
 def _periodic(spark, sf_dir, n=PERIOD_WEEKS):
     t = RetailTables(spark, sf_dir)
-    return P.with_periods(WeeklySummary(t).summary(), n, t.stores_to_be_removed)
+    return P.with_periods(WeeklySummary(t).summary(materialized=True), n, t.stores_to_be_removed)
 
 
 @query("period_index", ids="W2 SO1", sql=lambda: S.period_index_sql(PERIOD_WEEKS))
@@ -43,4 +43,4 @@ def q_stores_per_period(spark, sf_dir):
 @query("sparsity_sweep", ids="AG26", sql=lambda: S.sparsity_sql(2, 13))
 def q_sparsity(spark, sf_dir):
     t = RetailTables(spark, sf_dir)
-    return P.sparsity_sweep(WeeklySummary(t).summary(), 2, 13, t.stores_to_be_removed)
+    return P.sparsity_sweep(WeeklySummary(t).summary(materialized=True), 2, 13, t.stores_to_be_removed)

@@ -34,7 +34,11 @@ periodic AS (
   FROM kept s LEFT JOIN period_aggregator p ON s.week = p.week AND s.year = p.year AND s.week_no = p.week_no)"""
 
 
-def rollup_sql(n_weeks: int, keys: list[str]) -> str:
+def rollup_sql(n_weeks: int, keys: list[str], grain: str = "item") -> str:
+    return rollup_cte(n_weeks, keys, grain) + "\nSELECT * FROM rolled"
+
+
+def rollup_cte(n_weeks: int, keys: list[str], grain: str = "item") -> str:
     m = {c: mean(c) for c in AVG}
     opening = "arg_min(quantity, struct_pack(y := year, w := week_no))"
     disc = f"({m['line_discount']} + {m['crm_line_discount']})"
@@ -65,8 +69,8 @@ def rollup_sql(n_weeks: int, keys: list[str]) -> str:
         f"{m['trade_incentive_value']} AS trade_incentive_value",
         f"({contr} + {m['trade_incentive_value']}) AS total_contribution",
     ] + [f"min({c}) AS {c}" for c in ITEM_ATTRS] + ["min(area_code) AS area_code"]
-    return (periodic_ctes(n_weeks) + f"\nSELECT {', '.join(keys)}, {', '.join(sel)} FROM periodic "
-            f"GROUP BY {', '.join(keys)}")
+    return (periodic_ctes(n_weeks, grain) + f",\nrolled AS (SELECT {', '.join(keys)}, {', '.join(sel)} "
+            f"FROM periodic GROUP BY {', '.join(keys)})")
 
 
 def period_index_sql(n_weeks: int) -> str:

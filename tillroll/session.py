@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.driver.memory": "16g",
 }
 
 
@@ -58,3 +59,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Cut lineage at a table boundary with a reliable checkpoint.
+
+    The data are written to the shared checkpoint folder (``checkpoint_dir``),
+    so later stages re-read them instead of re-planning and re-running the
+    whole upstream plan, and a lost executor does not force recomputation
+    from the sources. Never a local (executor-memory) checkpoint.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
