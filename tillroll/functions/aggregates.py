@@ -17,9 +17,17 @@ def col(c: Column | str) -> Column:
 MEAN_SCALE = 100000000  # means are fixed-point with 8 decimals
 
 
+def units_sql(c: str) -> str:
+    """Value in 1e-8 units as bigint. Inputs are decimals of scale <= 8 or
+    means already on the 1e-8 grid, so ``x * 1e8`` is within far less than
+    0.5 of an integer and ``floor(.. + 0.5)`` recovers it; all of it is plain
+    double/long arithmetic (no BigDecimal per row), identical in any engine."""
+    return f"cast(floor(cast({c} as double) * {MEAN_SCALE} + 0.5) as bigint)"
+
+
 def mean_sql(c: str) -> str:
     """SQL text of :func:`mean` (valid in Spark SQL and DuckDB)."""
-    u = f"sum(cast(round(cast({c} as decimal(38,8)) * {MEAN_SCALE}) as bigint))"
+    u = f"sum({units_sql(c)})"
     n = f"count({c})"
     q = (f"CASE WHEN {u} < 0 THEN -((-{u} * 2 + {n}) div nullif(2 * {n}, 0)) "
          f"ELSE ({u} * 2 + {n}) div nullif(2 * {n}, 0) END")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import MEAN_SCALE
+from ..functions.aggregates import MEAN_SCALE, units_sql
 
 
 def week_day_map(weeks: DataFrame, date_col: str = "week", days: int = 7) -> DataFrame:
@@ -34,7 +34,7 @@ def customer_day_quantity(sales_raw: DataFrame, qty_col: str = "quantity") -> Da
 
 
 def _u(c):
-    return F.round(F.col(c).cast("decimal(38,8)") * F.lit(MEAN_SCALE)).cast("bigint")
+    return F.expr(units_sql(c))
 
 
 def _fm(u, n):
