@@ -33,5 +33,5 @@ def query(name: str, sql: Callable[[], str] | None = None, ids: str = ""):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from . import q_assortment, q_demand, q_interval, q_periodic, q_quality, q_weekly  # noqa: F401
+    from . import q_assortment, q_demand, q_interval, q_models, q_periodic, q_quality, q_weekly  # noqa: F401
     return REGISTRY
