@@ -140,3 +140,108 @@ def q_poisson(spark, sf_dir):
     train, test = _split(df)
     model = M.fit_pipeline(train, M.poisson_glm())
     return M.regression_metrics(model.transform(test))
+
+
+def _prepped(spark, sf_dir, label_expr):
+    """Training frame with one-hot features, fitted once (the pipeline is reused per fit)."""
+    df = model_frame(spark, sf_dir).withColumn("label", label_expr)
+    train, test = _split(df)
+    pre = FE.one_hot_pipeline().fit(train)
+    return pre.transform(train), pre.transform(test)
+
+
+@query("ml_min_leaf_sweep", ids="ML6 ML5 ML20")
+def q_sweep(spark, sf_dir):
+    tr, te = _prepped(spark, sf_dir, F.col("sales_class").cast("double"))
+    tr = materialize(FE.oversample(tr, "label", KEYS).select("features", "label"))
+    out = None
+    for leaf in range(100, 1000, 25):
+        model = M.decision_tree(min_leaf=leaf).fit(tr)
+        r = M.classification_rates(model.transform(te)).withColumn("min_leaf", F.lit(leaf))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("ml_cross_val_r2", ids="ML15 ML1")
+def q_cv_r2(spark, sf_dir):
+    df = model_frame(spark, sf_dir).where(F.col("log_share").isNotNull()).withColumnRenamed("log_share", "label")
+    train, _ = _split(df)
+    cvm = M.cross_validate(train, M.linear_regression(), [{}], metric="r2", folds=5)
+    return spark.createDataFrame([(5, float(cvm.avgMetrics[0]))], "folds int, mean_r2 double")
+
+
+@query("ml_gbt_random_search", ids="ML13 ML3")
+def q_gbt_search(spark, sf_dir):
+    df = model_frame(spark, sf_dir).where(F.col("log_share").isNotNull()).withColumnRenamed("log_share", "label")
+    train, test = _split(df)
+    est = M.gbt_regressor()
+    # fixed values: the search space (learning rate, depth, row / column fractions, trees, min child)
+    grid = {est.stepSize: [0.05, 0.1, 0.15, 0.2, 0.25, 0.3],
+            est.maxDepth: [3, 4, 5, 6, 7, 8, 10, 12, 15],
+            est.subsamplingRate: [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
+            est.featureSubsetStrategy: ["0.1", "0.2", "0.3", "0.4", "0.5", "0.6", "0.7", "0.8", "0.9"],
+            est.maxIter: [3, 5, 7, 10],
+            est.minInstancesPerNode: [1, 3, 5, 7]}
+    points = M.random_grid(grid, 20, seed=42)
+    cvm = M.cross_validate(train, est, points, metric="r2", folds=5)
+    best = max(range(len(points)), key=lambda i: cvm.avgMetrics[i])
+    rows = [(i, float(cvm.avgMetrics[i]), i == best, str({p.name: v for p, v in points[i].items()}))
+            for i in range(len(points))]
+    return spark.createDataFrame(rows, "candidate int, mean_r2 double, is_best boolean, params string")
+
+
+@query("ml_random_forest_search", ids="ML7 ML14")
+def q_rf_search(spark, sf_dir):
+    df = model_frame(spark, sf_dir).withColumn("label", F.col("sales_class").cast("double"))
+    train, _ = _split(df)
+    est = M.random_forest()
+    grid = {est.maxDepth: list(range(1, 31)), est.impurity: ["gini", "entropy"],
+            est.minInstancesPerNode: [1, 5, 25, 100, 250, 500]}
+    points = M.random_grid(grid, 10, seed=42)
+    cvm = M.cross_validate(train, est, points, folds=5, classification=True)
+    rows = [(i, float(cvm.avgMetrics[i]), str({p.name: v for p, v in points[i].items()})) for i in range(len(points))]
+    return spark.createDataFrame(rows, "candidate int, mean_auc double, params string")
+
+
+@query("ml_two_stage_assortment", ids="ML21 FE10 OPT2")
+def q_two_stage(spark, sf_dir):
+    """Classify whether a (store, SKU) sells, regress the log share of the
+    predicted sellers, and feed the predictions to the greedy assortment."""
+    from ..operators import assortment as A
+    from ..sources.testdata import RetailTables
+    from .q_assortment import ASSORTMENT_SIZE, MARKET_SIZE
+    df = model_frame(spark, sf_dir)
+    train, _ = _split(df)
+    clf = M.fit_pipeline(FE.oversample(train, "sales_class", KEYS).withColumn("label", F.col("sales_class").cast("double")),
+                         M.logistic_regression())
+    reg = M.fit_pipeline(train.where(F.col("log_share").isNotNull()).withColumnRenamed("log_share", "label"),
+                         M.linear_regression())
+    t = RetailTables(spark, sf_dir, "sku")
+    cand = A.candidates(t.sales_raw, t.predictions, t.profit)
+    period = df.agg(F.max("period")).head()[0]
+    score = FE.prepare(FE.scoring_frame(cand.drop("log_share"), t.store_master,
+                                        t.item_master.drop("case_size"), period)
+                       .withColumn("item_no", F.col("item_no").cast("string")))
+    for c in FE.NUM_COLS:
+        if c not in score.columns:
+            score = score.withColumn(c, F.lit(0.0))
+    sellers = clf.transform(score).where(F.col("prediction") == 1.0).select(*score.columns)
+    pred = reg.transform(sellers).select(F.col("location_code"), F.col("brand"),
+                                         F.col("item_no").cast("long").alias("item_no"),
+                                         F.col("prediction").alias("log_share"), "net_profit_per_unit")
+    return A.greedy_assortment(pred, ASSORTMENT_SIZE, MARKET_SIZE)
+
+
+@query("ml_kprototypes", ids="ML16")
+def q_kproto(spark, sf_dir):
+    from ..operators.clustering import kprototypes
+    df = model_frame(spark, sf_dir)
+    clustered, _ = kprototypes(df, ["stock_prevailing_mrp", "case_size"], ["store_type", "material"], k=15)
+    return clustered.groupBy("cluster").agg(F.count("*").alias("rows"))
+
+
+@query("ml_zero_inflated_poisson", ids="ML11 ML17")
+def q_zip(spark, sf_dir):
+    tr, te = _prepped(spark, sf_dir, F.round("sales_quantity"))
+    model = M.zip_fit(tr.select("features", "label"), iterations=4)
+    return M.regression_metrics(M.zip_predict(te.select("features", "label"), model))
