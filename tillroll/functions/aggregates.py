@@ -81,7 +81,7 @@ def to_int(c: Column | str) -> Column:
 def parse_date(c: Column | str, formats: tuple[str, ...] = ("yyyy/MM/dd", "dd/MM/yyyy", "dd/MM/yy")) -> Column:
     """First format that parses; NULL when none does (SC5)."""
     c = col(c)
-    return F.coalesce(*[F.try_to_date(c, F.lit(fmt)) for fmt in formats])
+    return F.coalesce(*[F.try_to_date(c, fmt) for fmt in formats])
 
 
 def money(c: Column | str) -> Column:
