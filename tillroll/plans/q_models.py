@@ -39,7 +39,38 @@ def _split(df):
     return df.where("is_train"), df.where("not is_train")
 
 
-@query("class_counts", ids="FE8 FE6")
+def _class_counts_sql():
+    from . import sql_demand as SD
+    from .q_demand import ARGS
+    return SD.pareto_ctes(*ARGS) + """
+SELECT CASE WHEN sales_quantity > 0 THEN 1 ELSE 0 END AS sales_class, count(*) AS rows FROM target_b GROUP BY 1"""
+
+
+ALIGN_COLS = ["store_type", "city_type", "region", "material", "dial_color", "case_shape"]
+
+
+def _alignment_sql():
+    from . import sql_demand as SD
+    from .q_demand import ARGS
+    norm = lambda c: f"coalesce(nullif(cast({c} as varchar), ''), 'nan')"
+    tr = " UNION ".join(f"SELECT '{c}' AS feature, {norm(c)} AS level FROM target_b" for c in ALIGN_COLS)
+    sc = " UNION ".join(f"SELECT '{c}' AS feature, {norm(c)} AS level FROM score" for c in ALIGN_COLS)
+    return SD.pareto_ctes(*ARGS) + f""",
+cands AS (
+  SELECT s.item_no, s.location_code, p.brand, pr.net_profit_per_unit
+  FROM (SELECT DISTINCT location_code, item_no FROM sales_raw) s
+  LEFT JOIN predictions p ON s.item_no = p.item_no JOIN profit pr ON s.item_no = pr.item_no),
+score AS (
+  SELECT c.*, sm.store_type, sm.city_type, sm.region, i.material, i.dial_color, i.case_shape
+  FROM cands c JOIN store_master sm ON c.location_code = sm.store_code LEFT JOIN item_master i ON c.item_no = i.item_no),
+tl AS ({tr}),
+sl AS ({sc})
+SELECT feature, level, 'train_only' AS side FROM (SELECT * FROM tl EXCEPT SELECT * FROM sl)
+UNION ALL
+SELECT feature, level, 'score_only' AS side FROM (SELECT * FROM sl EXCEPT SELECT * FROM tl)"""
+
+
+@query("class_counts", ids="FE8 FE6 PF17", sql=_class_counts_sql)
 def q_class_counts(spark, sf_dir):
     return FE.class_counts(model_frame(spark, sf_dir), "sales_class")
 
@@ -50,7 +81,7 @@ def q_oversampled(spark, sf_dir):
     return FE.class_counts(FE.oversample(train, "sales_class", KEYS), "sales_class")
 
 
-@query("level_alignment", ids="FE5 FE9 FE10")
+@query("level_alignment", ids="FE5 FE9 FE10", sql=_alignment_sql)
 def q_alignment(spark, sf_dir):
     from ..operators import assortment as A
     from ..sources.testdata import RetailTables
@@ -58,8 +89,7 @@ def q_alignment(spark, sf_dir):
     train = model_frame(spark, sf_dir)
     score = FE.scoring_frame(A.candidates(t.sales_raw, t.predictions, t.profit), t.store_master,
                              t.item_master, 1)
-    return FE.level_alignment(train, FE.prepare(score), ["store_type", "city_type", "region", "material",
-                                                        "dial_color", "case_shape"])
+    return FE.level_alignment(train, FE.prepare(score), ALIGN_COLS)
 
 
 def _reg_predictions(spark, sf_dir, estimator):
