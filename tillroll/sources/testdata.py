@@ -140,7 +140,9 @@ class RetailTables:
 
     @cached_property
     def stores_to_be_removed(self) -> DataFrame:
-        return self.spark.range(1).select(F.lit("S09").alias("location_code"))
+        """Non-stores to drop: store S09 (supplier 9), read from the supplier table."""
+        return (self.base("supplier").where(F.col("s_suppkey") == N_STORES - 1)
+                .select(F.expr(STORE_MASTER["store_code"]).alias("location_code")))
 
     @cached_property
     def item_master(self) -> DataFrame:
@@ -253,7 +255,8 @@ area_codes AS (
 market_share AS (
   SELECT 'ST' || lpad(cast(n_nationkey as string), 2, '0') AS state,
          cast(1 + 2 * (n_nationkey % 10) as double) / 20 AS market_share FROM nation),
-stores_to_be_removed AS (SELECT 'S09' AS location_code),
+stores_to_be_removed AS (
+  SELECT 'S' || lpad(cast(s_suppkey as string), 2, '0') AS location_code FROM supplier WHERE s_suppkey = {N_STORES - 1}),
 item_master AS (
   SELECT p_partkey AS item_no, {", ".join(items)} FROM part {item_where}),
 profit AS (
