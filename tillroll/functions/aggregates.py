@@ -85,5 +85,5 @@ def parse_date(c: Column | str, formats: tuple[str, ...] = ("yyyy/MM/dd", "dd/MM
 
 
 def money(c: Column | str) -> Column:
-    """Text money with thousands separators to double (SC9): ``'1,234.5'`` → 1234.5."""
-    return F.regexp_replace(col(c).cast("string"), ",", "").try_cast("double")
+    """Text money with thousands separators (SC9): ``'1,234.5'`` → 1234.5 (decimal(38,8))."""
+    return F.regexp_replace(col(c).cast("string"), ",", "").try_cast("decimal(38,8)")

@@ -20,19 +20,35 @@ FEATURE_SHARE = 0.10
 FEATURE_MIN_LEVELS = 10
 
 
+_CHAINS: dict = {}
+
+
 class DemandChain:
     """Period roll-up by store type at SKU grain → never-sold removal → item
     Pareto → regroup → market size → log share → feature Pareto."""
 
+    def __new__(cls, spark, sf_dir):
+        # one chain per session and input folder: its tables are materialised once
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _CHAINS:
+            _CHAINS.clear()
+            obj = super().__new__(cls)
+            obj._build(spark, sf_dir)
+            _CHAINS[key] = obj
+        return _CHAINS[key]
+
     def __init__(self, spark, sf_dir):
+        pass
+
+    def _build(self, spark, sf_dir):
         t = RetailTables(spark, sf_dir, "sku")
         self.t = t
         summary = WeeklySummary(t).summary(materialized=True)
         rolled = P.rollup_by_store_type(P.with_periods(summary, PERIOD_WEEKS, t.stores_to_be_removed))
-        self.kept = materialize(Q.drop_never_sold(rolled))
+        self.kept = materialize(Q.drop_never_sold(rolled), "demand-kept")
         self.mapping = PA.item_pareto_mapping(self.kept, ITEM_SHARE, ITEM_MIN_LEVELS)
         self.lumped = PA.apply_item_pareto(self.kept, self.mapping, "Others", True, PA.ITEM_COLS)
-        self.demand = materialize(SH.regroup_lumped(self.lumped.drop("_lumped", "_orig_brand")))
+        self.demand = materialize(SH.regroup_lumped(self.lumped.drop("_lumped", "_orig_brand")), "demand")
         self.sizes = SH.market_sizes(self.demand, t.market_share, "store_type")
 
     def target(self, variant="B"):
