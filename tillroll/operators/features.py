@@ -108,3 +108,28 @@ def scoring_frame(candidates: DataFrame, store_master: DataFrame, item_master: D
     return (candidates.join(st, "location_code", "inner")
                       .join(item_master, "item_no", "left")
                       .withColumn("period", F.lit(period)))
+
+
+def ordered_period_split(df: DataFrame, train_frac: float = 0.8, order_col: str = "period",
+                         col: str = "is_train") -> DataFrame:
+    """SO3: ordered split — the earliest periods up to ``train_frac`` of the
+    rows train, later periods test. Row counts per period are one small
+    aggregate; the cut is the first period whose cumulative share reaches the
+    fraction (a period is never split). No global sort of the rows."""
+    per = df.groupBy(order_col).agg(F.count("*").alias("_n"))
+    from pyspark.sql import Window
+    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = per.withColumn("_cum", F.sum("_n").over(w)).withColumn("_tot", F.sum("_n").over(Window.partitionBy()))
+    cut = (cum.where(F.col("_cum") >= F.col("_tot") * F.lit(train_frac))
+              .agg(F.min(order_col).alias("_cut")).withColumn("_k", F.lit(1)))
+    out = df.withColumn("_k", F.lit(1)).join(F.broadcast(cut), "_k").drop("_k")
+    return out.withColumn(col, F.col(order_col) <= F.col("_cut")).drop("_cut")
+
+
+def drop_incomplete_last_period(df: DataFrame, periods: DataFrame, n_weeks: int) -> DataFrame:
+    """PF22: drop the last period when it holds fewer than ``n_weeks`` weeks
+    (``periods`` is the week → period index, one row per week)."""
+    per = periods.groupBy("period").agg(F.count("*").alias("_w"))
+    last = per.agg(F.max_by("period", "period").alias("_p"), F.max_by("_w", "period").alias("_w"))
+    bad = last.where(F.col("_w") < n_weeks).select(F.col("_p").alias("period"))
+    return df.join(F.broadcast(bad), "period", "left_anti")

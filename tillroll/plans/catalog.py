@@ -33,6 +33,6 @@ def query(name: str, sql: Callable[[], str] | None = None, ids: str = ""):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from . import (q_assortment, q_demand, q_impute, q_interval, q_io, q_models, q_periodic,  # noqa: F401
+    from . import (q_assortment, q_checks, q_demand, q_impute, q_interval, q_io, q_models, q_periodic,  # noqa: F401
                    q_quality, q_reports, q_weekly)
     return REGISTRY

@@ -126,7 +126,7 @@ def _clf_predictions(spark, sf_dir, estimator, oversample=True, num_cols=None):
     return pred.select(*KEYS, "label", "prediction")
 
 
-@query("ml_logistic_rates", ids="ML2 ML18 ML20")
+@query("ml_logistic_rates", ids="ML2 ML18 ML20 U5 FE4")
 def q_logit(spark, sf_dir):
     return M.classification_rates(_clf_predictions(spark, sf_dir, M.logistic_regression()))
 

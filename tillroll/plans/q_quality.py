@@ -14,7 +14,7 @@ from .catalog import query
 FUZZY_ATTRS = ["dial_color", "case_shape", "material", "strap_color", "case_size_range"]
 
 
-@query("weekly_grid", ids="SE3 J10 J11 J12 J22 AG10 AG12 PF13 PF17 PF18 U1 SC7", sql=S.grid_sql)
+@query("weekly_grid", ids="SE3 J10 J11 J12 J22 AG10 AG12 PF6 PF13 PF17 PF18 U1 SC7", sql=S.grid_sql)
 def q_grid(spark, sf_dir):
     t = RetailTables(spark, sf_dir)
     return grid.weekly_grid(t.closing_stock_raw, t.sales_raw, t.purchase_raw, t.store_master, t.item_master)

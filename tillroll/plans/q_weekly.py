@@ -46,7 +46,7 @@ def q_weekly_cells(spark, sf_dir):
     return wk.WeeklySummary(_tables(spark, sf_dir)).cells()
 
 
-@query("weekly_summary", ids="J7 J8 J9 PF5 PF9 PF10 PF15 SC4 SC8 SE5",
+@query("weekly_summary", ids="J7 J8 J9 PF5 PF9 PF10 PF15 SC4 SC8 SE5 U4",
        sql=lambda: S.summary_ctes() + "\nSELECT * FROM summary")
 def q_weekly_summary(spark, sf_dir):
     return wk.WeeklySummary(_tables(spark, sf_dir)).summary()
