@@ -58,7 +58,7 @@ FACT_KEYS = {
     "location_code": "'S' || lpad(cast(l_suppkey % 10 as string), 2, '0')",
     "item_no": f"l_partkey % {N_WEEK_ITEMS}",
     "sku": "l_partkey",
-    "customer_no": "cast(o_custkey as string)",
+    "orderkey": "l_orderkey",
     "brand": "p_brand",
     "department": "p_type",
     "quantity": "cast(floor(l_quantity) as int) % 4 - 1",
@@ -172,14 +172,15 @@ class RetailTables:
     # -- facts --------------------------------------------------------------
     @cached_property
     def fact(self) -> DataFrame:
+        """Line facts with item, store and money columns. The customer (from
+        orders) is attached in ``sales_raw`` only: the other roles do not need
+        the order join."""
         li = self.base("lineitem")
-        o = self.base("orders").select("o_orderkey", "o_custkey")
         p = self.base("part").select("p_partkey", "p_brand", "p_type")
         keys = dict(FACT_KEYS)
         if self.grain == "sku":
             keys["item_no"] = "l_partkey"
-        f = (li.join(o, li.l_orderkey == o.o_orderkey)
-               .join(p, li.l_partkey == p.p_partkey)
+        f = (li.join(p, li.l_partkey == p.p_partkey)
                .select(*_sel(keys),
                        F.date_add(F.to_date("l_shipdate"), DATE_SHIFT_DAYS).alias("d"),
                        *_sel(MONEY)))
@@ -219,7 +220,9 @@ class RetailTables:
 
     @cached_property
     def sales_raw(self) -> DataFrame:
+        o = self.base("orders").select("o_orderkey", F.expr("cast(o_custkey as string)").alias("customer_no"))
         f = self.fact.where("ln >= 4")
+        f = f.join(o, f.orderkey == o.o_orderkey)
         return f.select("location_code", F.col("d").alias("sales_date"), "item_no", "customer_no",
                         "brand", F.col("department").alias("sales_department"), "quantity",
                         "raw_quantity", *SALES_MONEY, F.col("d").alias("receipt_date"),
@@ -269,7 +272,7 @@ fact0 AS (
   SELECT {_cols(keys)},
   cast(l_shipdate as date) + {DATE_SHIFT_DAYS} AS d,
   {_cols(MONEY)}
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
 fact AS (
   SELECT fact0.*, sm.state, sm.region FROM fact0
   LEFT JOIN store_master sm ON fact0.location_code = sm.store_code),
@@ -289,6 +292,7 @@ closing_stock_raw AS (
          d AS purchase_date, state, region
   FROM fact WHERE ln = 3),
 sales_raw AS (
-  SELECT location_code, d AS sales_date, item_no, customer_no, brand, department AS sales_department,
-         quantity, raw_quantity, {", ".join(SALES_MONEY)}, d AS receipt_date, state, region
-  FROM fact WHERE ln >= 4)"""
+  SELECT location_code, d AS sales_date, item_no, cast(o_custkey as string) AS customer_no, brand,
+         department AS sales_department, quantity, raw_quantity, {", ".join(SALES_MONEY)}, d AS receipt_date,
+         state, region
+  FROM fact JOIN orders ON orderkey = o_orderkey WHERE ln >= 4)"""
