@@ -62,7 +62,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", partition_by: list[str] | None = None):
     """Cut lineage at a table boundary by writing a Parquet table.
 
     The table goes to a fresh folder under the shared checkpoint directory
@@ -75,5 +75,8 @@ def materialize(df, name: str = "table"):
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
