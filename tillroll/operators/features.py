@@ -120,10 +120,8 @@ def ordered_period_split(df: DataFrame, train_frac: float = 0.8, order_col: str
     from pyspark.sql import Window
     w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = per.withColumn("_cum", F.sum("_n").over(w)).withColumn("_tot", F.sum("_n").over(Window.partitionBy()))
-    cut = (cum.where(F.col("_cum") >= F.col("_tot") * F.lit(train_frac))
-              .agg(F.min(order_col).alias("_cut")).withColumn("_k", F.lit(1)))
-    out = df.withColumn("_k", F.lit(1)).join(F.broadcast(cut), "_k").drop("_k")
-    return out.withColumn(col, F.col(order_col) <= F.col("_cut")).drop("_cut")
+    cut = cum.where(F.col("_cum") >= F.col("_tot") * F.lit(train_frac)).agg(F.min(order_col).alias("c")).head()["c"]
+    return df.withColumn(col, F.col(order_col) <= F.lit(cut))
 
 
 def drop_incomplete_last_period(df: DataFrame, periods: DataFrame, n_weeks: int) -> DataFrame:

@@ -58,10 +58,11 @@ def apply_item_pareto(df: DataFrame, mapping: DataFrame, label: str = "Others",
     j = df.join(m, [group, item], "left").withColumn("_orig_brand", F.col(group))
     lumped = F.coalesce(F.col("_lumped"), F.lit(False))
     if overwrite_attrs:
-        modes = global_modes(df, overwrite_attrs).withColumn("_k", F.lit(1))
-        j = j.withColumn("_k", F.lit(1)).join(F.broadcast(modes), "_k").drop("_k")
+        # one row: the most frequent value of each attribute, used as literals
+        modes = global_modes(df, overwrite_attrs).head()
+        types = dict(df.dtypes)
         for c in overwrite_attrs:
-            j = j.withColumn(c, F.when(lumped, F.col(f"_mode_{c}")).otherwise(F.col(c))).drop(f"_mode_{c}")
+            j = j.withColumn(c, F.when(lumped, F.lit(modes[f"_mode_{c}"]).cast(types[c])).otherwise(F.col(c)))
     j = j.withColumn(item, F.when(lumped, F.lit(label)).otherwise(F.col(item).cast("string")))
     if lump_brand:
         j = j.withColumn(group, F.when(lumped, F.lit(label)).otherwise(F.col(group)))

@@ -135,21 +135,21 @@ def key_uniqueness(df: DataFrame, key: str) -> DataFrame:
 def level_frequency(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
     """AG21 + W5: count (and optional weight sum) per level and its share of the total.
 
-    The total is a one-row global aggregate joined on a constant key
-    (broadcast hash join of a single row), so no single-partition window.
+    The grand total is one scalar (a single-row aggregate read by the driver)
+    used as a literal: no single-partition window and no join.
     """
     aggs = [F.count("*").alias("n")]
     if weight:
         aggs.append(F.sum(F.col(weight).cast("decimal(38,8)")).alias("w"))
-    g = df.groupBy(col).agg(*aggs).withColumn("_k", F.lit(1))
-    tots = [F.sum("n").alias("_tn")] + ([F.sum("w").alias("_tw")] if weight else [])
-    tot = g.groupBy("_k").agg(*tots)
-    out = g.join(F.broadcast(tot), "_k").drop("_k")
-    out = out.withColumn("pct", F.col("n").cast("double") * 100 / F.col("_tn").cast("double"))
+    g = df.groupBy(col).agg(*aggs)
+    tots = [F.sum("n").alias("tn")] + ([F.sum("w").alias("tw")] if weight else [])
+    tot = g.agg(*tots).head()
+    out = g.withColumn("pct", F.col("n").cast("double") * 100 / F.lit(float(tot["tn"] or 0)))
     if weight:
-        out = out.withColumn("weight_pct", F.col("w").cast("double") * 100 / F.col("_tw").cast("double")) \
+        tw = F.lit(tot["tw"]).cast("decimal(38,8)").cast("double")
+        out = out.withColumn("weight_pct", F.col("w").cast("double") * 100 / tw) \
                  .withColumn(f"{weight}_sum", F.col("w").cast("double")).drop("w")
-    return out.drop("_tn", "_tw").withColumnRenamed(col, "level")
+    return out.withColumnRenamed(col, "level")
 
 
 def never_sold_items(summary: DataFrame) -> DataFrame:
