@@ -129,7 +129,7 @@ def random_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
 
 
 def cross_validate(train: DataFrame, estimator, param_maps: list[dict], metric: str = "r2", folds: int = 5,
-                   classification: bool = False, label: str = "label", parallelism: int = 4):
+                   classification: bool = False, label: str = "label", parallelism: int = 8):
     """ML13-ML15: k-fold cross-validation over the given parameter maps."""
     pre = one_hot_pipeline()
     pipe = Pipeline(stages=pre.getStages() + [estimator])
