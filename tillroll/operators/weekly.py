@@ -184,6 +184,9 @@ def attach_dimensions(cells: DataFrame, store_master: DataFrame, item_master: Da
     return j
 
 
+_SUMMARIES: dict = {}
+
+
 class WeeklySummary:
     """Weekly transaction summary over the domain tables (cached building blocks)."""
 
@@ -196,17 +199,26 @@ class WeeklySummary:
         self.transfer_w = transfer_weekly(transfers(t.transfer_raw))
         self.sales_w = sales_weekly(sales_daily(t.sales_raw, min_qty, max_qty))
         self.brand_from_sales = brand_from_sales
+        self.min_qty, self.max_qty = min_qty, max_qty
 
     def cells(self) -> DataFrame:
         return weekly_cells(self.stock, self.purchase_w, self.transfer_w, self.sales_w,
                             self.brand_from_sales)
 
     def summary(self, materialized: bool = False) -> DataFrame:
-        """The weekly summary table; ``materialized=True`` checkpoints it (it
-        feeds several downstream jobs, as the summary file does)."""
+        """The weekly summary table.
+
+        ``materialized=True`` writes it once per session and input (as the
+        summary file of the source pipeline is written once and re-read by the
+        period, quality and demand steps) and returns the written table.
+        """
         items = dedup_on_key(self.t.item_master, "item_no")
         out = attach_dimensions(self.cells(), self.t.store_master, items, self.t.area_codes)
-        if materialized:
+        if not materialized:
+            return out
+        key = (self.t.spark.sparkContext.applicationId, self.t.sf_dir, self.t.grain, self.min_qty, self.max_qty,
+               self.brand_from_sales)
+        if key not in _SUMMARIES:
             from ..session import materialize
-            out = materialize(out)
-        return out
+            _SUMMARIES[key] = materialize(out, f"weekly-summary-{self.t.grain}")
+        return _SUMMARIES[key]

@@ -37,7 +37,7 @@ def q_sign(spark, sf_dir):
 
 def _imputation_input(spark, sf_dir):
     t = RetailTables(spark, sf_dir, "sku")
-    return quality.item_master_for_imputation(WeeklySummary(t).summary(), t.item_master)
+    return quality.item_master_for_imputation(WeeklySummary(t).summary(materialized=True), t.item_master)
 
 
 @query("item_master_for_imputation", ids="J16 PF7 AG24 U2",

@@ -124,9 +124,20 @@ class RetailTables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _session_table(self, name: str, build) -> DataFrame:
+        """Derived dimension written once per session and input folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.grain, name)
+        if key not in _FACTS:
+            from ..session import materialize
+            _FACTS[key] = materialize(build(), f"{name}-{self.grain}")
+        return _FACTS[key]
+
     # -- dimensions -------------------------------------------------------
     @cached_property
     def store_master(self) -> DataFrame:
+        return self._session_table("store_master", self._build_store_master)
+
+    def _build_store_master(self) -> DataFrame:
         s = self.base("supplier").where(F.col("s_suppkey") < N_STORES)
         n = self.base("nation")
         r = self.base("region")
@@ -136,12 +147,18 @@ class RetailTables:
 
     @cached_property
     def area_codes(self) -> DataFrame:
+        return self._session_table("area_codes", self._build_area_codes)
+
+    def _build_area_codes(self) -> DataFrame:
         return self.base("nation").select(
             F.expr("'ST' || lpad(cast(n_nationkey as string), 2, '0')").alias("state_code"),
             F.expr("cast(100 + n_nationkey as int)").alias("area_code"))
 
     @cached_property
     def market_share(self) -> DataFrame:
+        return self._session_table("market_share", self._build_market_share)
+
+    def _build_market_share(self) -> DataFrame:
         return self.base("nation").select(
             F.expr("'ST' || lpad(cast(n_nationkey as string), 2, '0')").alias("state"),
             F.expr("cast(1 + 2 * (n_nationkey % 10) as double) / 20").alias("market_share"))
@@ -154,6 +171,9 @@ class RetailTables:
 
     @cached_property
     def item_master(self) -> DataFrame:
+        return self._session_table("item_master", self._build_item_master)
+
+    def _build_item_master(self) -> DataFrame:
         p = self.base("part")
         if self.grain == "item":
             p = p.where(F.col("p_partkey") < N_WEEK_ITEMS)
