@@ -1,0 +1,20 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint behind a size check.
+
+    For side tables whose size is not fixed by construction (e.g. one row per
+    level of an attribute): the rows are counted (one small job) and the
+    table is hinted for broadcast only under ``max_rows``; above it the join
+    stays a regular shuffle join (and AQE may still broadcast at run time).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

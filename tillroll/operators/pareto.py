@@ -19,6 +19,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
+
 ITEM_COLS = ["case_size_range", "gender", "movement", "material", "dial_color", "strap_type",
              "strap_color", "precious_stone", "glass", "case_shape", "watch_type"]
 
@@ -113,13 +115,13 @@ def feature_pareto_mapping(df: DataFrame, cols: list[str], share: float = 0.10,
 
 
 def apply_feature_pareto(df: DataFrame, mapping: DataFrame, cols: list[str], label: str = "Other") -> DataFrame:
-    """PF23: replace lumped levels by ``label`` (one broadcast join per column;
-    the mapping holds one row per level)."""
+    """PF23: replace lumped levels by ``label`` (one join per column against
+    the lumped levels of that column, broadcast after a size check)."""
     out = df
     for c in cols:
         m = (mapping.where((F.col("feature") == c) & F.col("lumped"))
                     .select(F.col("level").alias(f"_lv_{c}"), F.lit(True).alias(f"_hit_{c}")))
-        out = out.join(F.broadcast(m), F.col(c).cast("string") == F.col(f"_lv_{c}"), "left")
+        out = out.join(broadcast_if_small(m), F.col(c).cast("string") == F.col(f"_lv_{c}"), "left")
         out = out.withColumn(c, F.when(F.col(f"_hit_{c}"), F.lit(label)).otherwise(F.col(c).cast("string"))) \
                  .drop(f"_lv_{c}", f"_hit_{c}")
     return out
