@@ -23,7 +23,7 @@ def _inputs(spark, sf_dir, n):
 @query("kept_closing_dates", ids="W1",
        sql=lambda: W.fact_ctes() + f"""
 SELECT closing_date, period_number FROM (
-  SELECT closing_date, row_number() OVER (ORDER BY closing_date) AS period_number
+  SELECT closing_date, cast(row_number() OVER (ORDER BY closing_date) as int) AS period_number
   FROM (SELECT DISTINCT closing_date FROM closing_stock))
 WHERE period_number % {WINDOW_WEEKS} = 1 % {WINDOW_WEEKS}""")
 def q_kept(spark, sf_dir):

@@ -55,7 +55,7 @@ JOIN item_master i ON i.item_no = g.item_no"""
 
 def bulk_orders_sql() -> str:
     return oracle_ctes("item") + """
-SELECT location_code, sales_date, item_no, customer_no, sum(raw_quantity) AS customer_day_quantity,
+SELECT location_code, sales_date, item_no, customer_no, cast(sum(raw_quantity) as bigint) AS customer_day_quantity,
        CASE WHEN sum(raw_quantity) > 2 THEN 1 ELSE 0 END AS corporate_order
 FROM sales_raw GROUP BY 1, 2, 3, 4"""
 
@@ -183,4 +183,4 @@ pairs AS (
   FROM lv a JOIN lv b ON a.feature = b.feature AND a.level <> b.level),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY feature, level ORDER BY similarity DESC, match) AS rk
            FROM pairs WHERE similarity >= {threshold})
-SELECT feature, level, match, similarity, rk AS match_rank FROM ranked WHERE rk <= {top}"""
+SELECT feature, level, match, similarity, cast(rk as int) AS match_rank FROM ranked WHERE rk <= {top}"""
