@@ -13,7 +13,6 @@ from ..operators.weekly import WeeklySummary
 from ..sources import files as IO
 from ..sources.testdata import RetailTables, oracle_ctes
 from . import sql_demand as SD
-from . import sql_periodic as SP
 from . import sql_quality as SQ
 from . import sql_weekly as W
 from .catalog import query

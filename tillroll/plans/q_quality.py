@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import facts, grid, quality
+from ..operators import grid, quality
 from ..operators.fuzzy import fuzzy_level_matches
 from ..operators.weekly import WeeklySummary
 from ..sources.testdata import RetailTables

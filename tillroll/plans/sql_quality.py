@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.testdata import oracle_ctes
-from .sql_weekly import fact_ctes, mean, summary_ctes
+from .sql_weekly import mean, summary_ctes
 
 ATTRS = ["case_size", "case_size_range", "gender", "movement", "material", "dial_color", "strap_type",
          "strap_color", "precious_stone", "glass", "case_shape", "watch_type"]
