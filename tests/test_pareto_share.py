@@ -51,3 +51,17 @@ def test_log_share_cases(spark):
     assert "B" not in out                               # sales equal to market: so = 0, dropped
     assert out["C"] is None                             # above market: negative ratio -> NULL
     assert math.isclose(out["D"], math.log(10 / 40))
+
+
+def test_distributed_cumulative_equals_window(spark):
+    import random
+    rng = random.Random(3)
+    rows = [("A", i, float(rng.choice([0, 1, 2, 5, 5, 9, 13]) + rng.random())) for i in range(300)]
+    rows += [("B", i, float(rng.randint(0, 4))) for i in range(120)]  # many ties
+    df = spark.createDataFrame([(b, i, v, 1.0) for b, i, v in rows],
+                               "brand string, item_no long, billing double, sales_quantity double")
+    a = PA.item_pareto_mapping(df, 0.05, 10)
+    b = PA.item_pareto_mapping(df, 0.05, 10, max_window_items=50)  # both brands take the distributed path
+    cols = a.columns
+    assert a.count() == b.count() == 420
+    assert a.exceptAll(b.select(*cols)).count() == 0

@@ -30,22 +30,70 @@ def _dec(c: str):
 
 
 def item_pareto_mapping(df: DataFrame, share: float = 0.05, min_levels: int = 100,
-                        group: str = "brand", item: str = "item_no", metric: str = "billing") -> DataFrame:
-    """W3: per (brand, item) the metric total, cumulative share and lump flag."""
+                        group: str = "brand", item: str = "item_no", metric: str = "billing",
+                        max_window_items: int = 1_000_000) -> DataFrame:
+    """W3: per (brand, item) the metric total, cumulative share and lump flag.
+
+    Brands with up to ``max_window_items`` items use one window per brand;
+    larger brands (found with a grouped count) use :func:`_cumulative_distributed`
+    so that no single task has to sort a whole oversized brand.
+    """
     per = df.groupBy(group, item).agg(F.sum(_dec(metric)).alias("metric_sum"))
-    w_all = Window.partitionBy(group)
-    w_cum = (Window.partitionBy(group).orderBy(F.desc("metric_sum"), F.asc(item))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    big = per.groupBy(group).count().where(F.col("count") > max_window_items).select(group)
+    if big.limit(1).count() == 0:
+        cum = _cumulative_window(per, group, item)
+    else:
+        cum = _cumulative_window(per.join(big, group, "left_anti"), group, item).unionByName(
+            _cumulative_distributed(per.join(big, group, "left_semi"), group, item))
     keep = Decimal(1) - Decimal(str(share))
-    per = (per.withColumn("cum_sum", F.sum("metric_sum").over(w_cum))
-              .withColumn("total", F.sum("metric_sum").over(w_all))
-              .withColumn("levels", F.count("*").over(w_all)))
-    over = F.col("cum_sum") > F.col("total") * F.lit(keep)
-    return per.select(group, item, F.col("metric_sum").cast("double").alias("metric_sum"),
+    # exact: decimal(30,8) * decimal(p,s) stays within 38 digits (no rounding)
+    over = F.col("cum_sum") > F.col("total").cast("decimal(30,8)") * F.lit(keep)
+    return cum.select(group, item, F.col("metric_sum").cast("double").alias("metric_sum"),
                       F.try_divide(F.col("cum_sum").cast("double"), F.col("total").cast("double")).alias("cum_share"),
                       "levels", (over & (F.col("levels") > min_levels)).alias("lumped"))
 
 
+def _cumulative_window(per: DataFrame, group: str, item: str) -> DataFrame:
+    w_all = Window.partitionBy(group)
+    w_cum = (Window.partitionBy(group).orderBy(F.desc("metric_sum"), F.asc(item))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (per.withColumn("cum_sum", F.sum("metric_sum").over(w_cum))
+               .withColumn("total", F.sum("metric_sum").over(w_all))
+               .withColumn("levels", F.count("*").over(w_all)))
+
+
+def _cumulative_distributed(per: DataFrame, group: str, item: str) -> DataFrame:
+    """Exact running sums for oversized groups without a per-group task.
+
+    A range-partitioned sort on (group, metric desc, item) spreads a large
+    group over many ordered partitions; the partition id is written together
+    with the rows (so it is fixed), running sums are taken within each
+    (partition, group) slice, and each slice adds the total of the earlier
+    slices of its group (a small table: groups x partitions).
+    """
+    from ..session import materialize
+    spark = per.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, 1) * 4
+    order = [F.col(group), F.desc("metric_sum"), F.asc(item)]
+    placed = materialize(per.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                            .withColumn("_pid", F.spark_partition_id()), "pareto-placed")
+    w_local = (Window.partitionBy("_pid", group).orderBy(F.desc("metric_sum"), F.asc(item))
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = placed.withColumn("_local", F.sum("metric_sum").over(w_local))
+    slices = placed.groupBy(group, "_pid").agg(F.sum("metric_sum").alias("_slice"), F.count("*").alias("_n"))
+    w_prev = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (slices.withColumn("_offset", F.coalesce(F.sum("_slice").over(w_prev), F.lit(0).cast("decimal(38,8)")))
+                     .withColumn("total", F.sum("_slice").over(Window.partitionBy(group)))
+                     .withColumn("levels", F.sum("_n").over(Window.partitionBy(group)))
+                     .select(group, "_pid", "_offset", "total", "levels"))
+    return (local.join(offsets, [group, "_pid"])
+                 .select(group, item, "metric_sum",
+                         # narrower operands keep the sum at scale 8 (38+38 digits would drop one)
+                         (F.col("_local").cast("decimal(30,8)") + F.col("_offset").cast("decimal(30,8)"))
+                         .cast("decimal(38,8)").alias("cum_sum"),
+                         "total", "levels"))
+
+
 def global_modes(df: DataFrame, cols: list[str]) -> DataFrame:
     """AG22: most frequent non-null value per column (ties → smallest), one row."""
     return df.agg(*[F.mode(F.col(c), deterministic=True).alias(f"_mode_{c}") for c in cols])
@@ -108,7 +156,8 @@ def feature_pareto_mapping(df: DataFrame, cols: list[str], share: float = 0.10,
     per = (per.withColumn("cum_sum", F.sum("metric_sum").over(w_cum))
               .withColumn("total", F.sum("metric_sum").over(w_all))
               .withColumn("levels", F.count("*").over(w_all)))
-    over = F.col("cum_sum") > F.col("total") * F.lit(keep)
+    # exact: decimal(30,8) * decimal(p,s) stays within 38 digits (no rounding)
+    over = F.col("cum_sum") > F.col("total").cast("decimal(30,8)") * F.lit(keep)
     return per.select("feature", "level", F.col("metric_sum").cast("double").alias("metric_sum"),
                       F.try_divide(F.col("cum_sum").cast("double"), F.col("total").cast("double")).alias("cum_share"),
                       "levels", (over & (F.col("levels") > min_levels) & F.col("level").isNotNull()).alias("lumped"))
