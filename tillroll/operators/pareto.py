@@ -73,7 +73,7 @@ def _cumulative_distributed(per: DataFrame, group: str, item: str) -> DataFrame:
     """
     from ..session import materialize
     spark = per.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, 1) * 4
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     order = [F.col(group), F.desc("metric_sum"), F.asc(item)]
     placed = materialize(per.repartitionByRange(n, *order).sortWithinPartitions(*order)
                             .withColumn("_pid", F.spark_partition_id()), "pareto-placed")

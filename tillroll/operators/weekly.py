@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import first_value, mean, total
 from ..functions.fiscal import fiscal_year, week_label, week_no
 from .facts import SALES_MONEY
+from ..session import app_key
 
 KEYS = ["location_code", "item_no", "week"]
 LOWERED_ATTRS = ["movement", "material", "dial_color", "strap_type", "strap_color",
@@ -216,7 +217,7 @@ class WeeklySummary:
         out = attach_dimensions(self.cells(), self.t.store_master, items, self.t.area_codes)
         if not materialized:
             return out
-        key = (self.t.spark.sparkContext.applicationId, self.t.sf_dir, self.t.grain, self.min_qty, self.max_qty,
+        key = (app_key(self.t.spark), self.t.sf_dir, self.t.grain, self.min_qty, self.max_qty,
                self.brand_from_sales)
         if key not in _SUMMARIES:
             from ..session import materialize

@@ -11,6 +11,7 @@ from ..session import materialize
 from ..sources.testdata import RetailTables
 from . import sql_demand as S
 from .catalog import query
+from ..session import app_key
 
 PERIOD_WEEKS = 12
 ITEM_SHARE = 0.05
@@ -29,7 +30,7 @@ class DemandChain:
 
     def __new__(cls, spark, sf_dir):
         # one chain per session and input folder: its tables are materialised once
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (app_key(spark), sf_dir)
         if key not in _CHAINS:
             _CHAINS.clear()
             obj = super().__new__(cls)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import models as M
-from ..session import materialize
+from ..session import app_key, materialize
 from .catalog import query
 from .q_demand import DemandChain
 
@@ -21,7 +21,7 @@ def model_frame(spark, sf_dir):
 
     Checkpointed once per session and input folder: every model query of the
     session reads the same materialised frame."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_key(spark), sf_dir)
     if key not in _FRAMES:
         _FRAMES.clear()
         _FRAMES[key] = _build_model_frame(spark, sf_dir)

@@ -43,22 +43,36 @@ def build_session(master: str | None = None, app: str = "tillroll",
     return spark
 
 
+def app_key(spark: SparkSession) -> str:
+    """Identifier of the running application (for per-session table caches)."""
+    try:
+        return spark.conf.get("spark.app.id")
+    except Exception:  # pragma: no cover - conf without an app id
+        return str(id(spark))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
     Only when the session leaves it unset (local tests) a scratch folder is
     created and registered; on a cluster the configured shared path is used.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session: no driver-side context
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        sc.setCheckpointDir(conf_dir)
+        if sc is not None:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
     local = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
+    spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 

@@ -20,6 +20,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import app_key
+
 DATE_SHIFT_DAYS = 8036
 N_STORES = 10          # stores are suppliers 0..9: a proven bound for broadcasts
 N_WEEK_ITEMS = 20      # item grain of the weekly summaries: part key mod 20
@@ -126,7 +128,7 @@ class RetailTables:
 
     def _session_table(self, name: str, build) -> DataFrame:
         """Derived dimension written once per session and input folder."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.grain, name)
+        key = (app_key(self.spark), self.sf_dir, self.grain, name)
         if key not in _FACTS:
             from ..session import materialize
             _FACTS[key] = materialize(build(), f"{name}-{self.grain}")
@@ -209,7 +211,7 @@ class RetailTables:
         folder). Every role then reads only its own partition, instead of each
         role re-scanning and re-joining the whole line table.
         """
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.grain)
+        key = (app_key(self.spark), self.sf_dir, self.grain)
         if key not in _FACTS:
             from ..session import materialize
             _FACTS[key] = materialize(self._derive_fact(), f"fact-{self.grain}", partition_by=["role"])
