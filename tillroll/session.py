@@ -20,7 +20,6 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    "spark.driver.memory": "16g",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -54,8 +53,9 @@ def app_key(spark: SparkSession) -> str:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session leaves it unset (local tests) a scratch folder is
-    created and registered; on a cluster the configured shared path is used.
+    Only when a local session leaves it unset (tests) a scratch folder is created
+    and registered; on a cluster the configured shared path is used, and a session
+    without one is refused, for executors would not see each other's files.
     """
     try:
         sc = spark.sparkContext
@@ -69,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None:
             sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc is not None:
         sc.setCheckpointDir(local)
@@ -93,4 +95,4 @@ def materialize(df, name: str = "table", partition_by: list[str] | None = None):
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # no job to infer the schema
