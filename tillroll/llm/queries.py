@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kd_shards, mixing, simhash
+from . import decontaminate, kd_shards, metric_join, mixing, simhash
 
-MODULES = (kd_shards, simhash, mixing)
+MODULES = (decontaminate, kd_shards, simhash, mixing, metric_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict[str, str] = {}
+    for m in MODULES:
+        if hasattr(m, "oracle_sql"):
+            found |= m.oracle_sql()
+    return found
