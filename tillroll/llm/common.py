@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialize
 
@@ -51,3 +56,20 @@ def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (ranged.withColumn("_at", within).join(offsets, "_range")
             .select(*df.columns, (F.col("_from") + F.col("_at") - 1).alias(into)))
+
+
+def with_values(docs: DataFrame, text: str, f, into: str, kind: T.DataType, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``into``: ``f`` of every text, in Python. ``f`` takes a list of texts (or nulls) and gives a list."""
+    keep = [c for c in docs.columns if c != into and (keep_text or c != text)]
+    at = len(keep)
+    names = [f"c{i}" for i in range(at)] + ["value"]
+    plain = docs.select(*[docs[c] for c in keep], docs[text]).toDF(*names)
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = pa.array(f(batch.column(at).to_pylist()), type=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], values], names=names)
+
+    schema = T.StructType([*plain.schema.fields[:at], T.StructField("value", kind)])
+    return plain.mapInArrow(run, schema).toDF(*keep, into)

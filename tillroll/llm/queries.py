@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kd_shards, metric_join, mixing, simhash
+from . import decontaminate, hmm, kd_shards, metric_join, mixing, simhash, toxicity
 
-MODULES = (decontaminate, kd_shards, simhash, mixing, metric_join)
+MODULES = (decontaminate, kd_shards, simhash, mixing, toxicity, hmm, metric_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,16 +23,14 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, free_name, table, utf8
+from .common import checkpointed, free_name, table, utf8, with_values
 from .components import connected_components
 
 CHUNK = 1 << 17
@@ -72,18 +70,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, into: str = "fingerprint") -> DataFrame:
     """``docs`` without ``text`` and with the signed fingerprint ``into``; other columns are kept."""
-    keep = [c for c in docs.columns if c not in (text, into)]
-    at = len(keep)
-    names = [f"c{i}" for i in range(at)] + ["text"]
-    plain = docs.select(*[docs[c] for c in keep], docs[text]).toDF(*names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = pa.array([fingerprint(t.as_py(), width) for t in batch.column(at)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], prints], names=[*names[:at], "print"])
-
-    schema = T.StructType([*plain.schema.fields[:at], T.StructField("print", T.LongType())])
-    return plain.mapInArrow(run, schema).toDF(*keep, into)
+    return with_values(docs, text, lambda texts: [fingerprint(t, width) for t in texts], into, T.LongType(), keep_text=False)
 
 
 def _signed(x: int) -> int:
