@@ -227,8 +227,7 @@ def oracle_sql() -> dict[str, str]:
 with recursive v as (
   select vec_id, label, cast(embedding as double[]) as e from embeddings
   where label is not null and embedding is not null),
-ok as (select * from v where list_bool_and(list_transform(e, x -> x is not null and isfinite(x)))
-       and list_sum(list_transform(e, x -> x * x)) > 0),
+ok as (select * from v where list_count(e) = len(e) and isfinite(list_sum(e)) and list_dot_product(e, e) > 0),
 link as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id
          and list_cosine_similarity(a.e, b.e) >= 0.93),
 reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on l.a = r.b)

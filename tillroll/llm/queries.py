@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm, kd_shards, metric_join, mixing, simhash, toxicity
+from . import (decontaminate, hmm, html_text, kd_shards, line_dedup, metric_join, mixing, pseudonyms, simhash,
+               toxicity)
 
-MODULES = (decontaminate, kd_shards, simhash, mixing, toxicity, hmm, metric_join)
+MODULES = (html_text, pseudonyms, decontaminate, kd_shards, simhash, mixing, line_dedup, toxicity, hmm, metric_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
