@@ -53,15 +53,20 @@ def test_log_share_cases(spark):
     assert math.isclose(out["D"], math.log(10 / 40))
 
 
-def test_distributed_cumulative_equals_window(spark):
+def test_cumulative_sums_against_sorting(spark):
     import random
+    from decimal import Decimal
     rng = random.Random(3)
-    rows = [("A", i, float(rng.choice([0, 1, 2, 5, 5, 9, 13]) + rng.random())) for i in range(300)]
-    rows += [("B", i, float(rng.randint(0, 4))) for i in range(120)]  # many ties
+    rows = [("A", i, float(rng.choice([0, 1, 2, 5, 5, 9, 13]) + round(rng.random(), 4))) for i in range(300)]
+    rows += [(None, i, float(rng.randint(0, 4))) for i in range(120)]  # many ties, a null brand
     df = spark.createDataFrame([(b, i, v, 1.0) for b, i, v in rows],
                                "brand string, item_no long, billing double, sales_quantity double")
-    a = PA.item_pareto_mapping(df, 0.05, 10)
-    b = PA.item_pareto_mapping(df, 0.05, 10, max_window_items=50)  # both brands take the distributed path
-    cols = a.columns
-    assert a.count() == b.count() == 420
-    assert a.exceptAll(b.select(*cols)).count() == 0
+    got = {(r.brand, r.item_no): r for r in PA.item_pareto_mapping(df, 0.05, 10).collect()}
+    assert len(got) == len(rows)
+    for brand in ("A", None):
+        own = sorted((-Decimal(str(v)), i) for b, i, v in rows if b == brand)
+        total, so_far = -sum(v for v, _ in own), Decimal(0)
+        for v, i in own:
+            so_far -= v
+            assert abs(got[brand, i].cum_share - float(so_far / total)) < 1e-9
+            assert got[brand, i].lumped == (so_far > total * Decimal("0.95")) and got[brand, i].levels == len(own)

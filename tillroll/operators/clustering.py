@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small
 
 
 def _distance(num_cols, cat_cols, proto: dict, gamma: float):
@@ -35,7 +34,7 @@ def _density(df: DataFrame, cat_cols: list[str]) -> DataFrame:
     dens = F.lit(0.0)
     for c in cat_cols:
         f = df.groupBy(c).agg((F.count("*") / F.lit(float(n))).alias(f"_f_{c}"))
-        out = out.join(broadcast_if_small(f), c, "left")
+        out = out.join(f, c, "left")
         dens = dens + F.coalesce(F.col(f"_f_{c}"), F.lit(0.0))
     return out.withColumn("_density", dens).drop(*[f"_f_{c}" for c in cat_cols])
 

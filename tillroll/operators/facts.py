@@ -13,10 +13,10 @@ SALES_MONEY = ["price", "total_price", "line_discount", "crm_line_discount", "di
                "total_contribution"]
 
 
-def closing_stock(raw: DataFrame) -> DataFrame:
-    """AG1 + SC2: stock per (item, location, closing date) with its opening-week label."""
+def closing_stock(raw: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+    """AG1 + SC2: stock per (item, location, closing date, and ``extra_keys``) with its opening-week label."""
     return (raw.where(F.col("closing_date").isNotNull())
-               .groupBy("item_no", "location_code", "closing_date")
+               .groupBy("item_no", "location_code", "closing_date", *extra_keys)
                .agg(first_value("brand").alias("brand"),
                     first_value("department").alias("department"),
                     total("quantity").alias("quantity"),

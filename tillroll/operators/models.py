@@ -56,7 +56,7 @@ def decision_tree(label: str = "label", min_leaf: int = 100) -> DecisionTreeClas
 
 
 def random_forest(label: str = "label") -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="features", labelCol=label, seed=42)
+    return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=100, seed=42)
 
 
 def naive_bayes(label: str = "label") -> NaiveBayes:
@@ -128,18 +128,25 @@ def random_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
     return points
 
 
-def cross_validate(train: DataFrame, estimator, param_maps: list[dict], metric: str = "r2", folds: int = 5,
-                   classification: bool = False, label: str = "label", parallelism: int = 8):
-    """ML13-ML15: k-fold cross-validation over the given parameter maps."""
-    pre = one_hot_pipeline()
-    pipe = Pipeline(stages=pre.getStages() + [estimator])
+def cross_validate(train: DataFrame, estimator, param_maps: list[dict], keys: list[str], metric: str = "r2",
+                   folds: int = 5, classification: bool = False, label: str = "label", parallelism: int = 8):
+    """ML13-ML15: k-fold cross-validation over the given parameter maps.
+
+    The one-hot stages do not depend on the candidates (nor on the label), so they are fitted once and
+    their output is written once with a fold per row (from a hash of ``keys``); the candidates are fitted on
+    that table, ``parallelism`` at a time.
+    """
+    from ..session import materialize
+    pre = one_hot_pipeline().fit(train)
+    fold = F.pmod(F.xxhash64(F.lit(7), *keys), F.lit(folds)).cast("int")
+    table = materialize(pre.transform(train.withColumn("fold", fold)).select("features", label, "fold"), "cv")
     if classification:
         ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     else:
         ev = RegressionEvaluator(labelCol=label, metricName=metric)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_maps or [{}], evaluator=ev, numFolds=folds,
-                        parallelism=parallelism, seed=42)
-    return cv.fit(train)
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=param_maps or [{}], evaluator=ev, numFolds=folds,
+                        foldCol="fold", parallelism=parallelism, seed=42)
+    return cv.fit(table)
 
 
 # -- linear discriminant analysis --------------------------------------------------

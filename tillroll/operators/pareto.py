@@ -7,9 +7,8 @@ most ``1 - share``. Only groups with more than ``min_levels`` items are
 lumped. Sums are exact decimals and the threshold test is done without
 division, so the decision is the same in any engine.
 
-The cumulative sum runs in a window per brand (per feature) over the
-*pre-aggregated* items, one row per item: its size is the item catalogue of
-that brand, not the number of facts.
+The cumulative sum is a distributed prefix sum over the *pre-aggregated*
+items (one row per item), so no task has to hold a brand or a feature.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small
-
 ITEM_COLS = ["case_size_range", "gender", "movement", "material", "dial_color", "strap_type",
              "strap_color", "precious_stone", "glass", "case_shape", "watch_type"]
 
@@ -30,21 +27,10 @@ def _dec(c: str):
 
 
 def item_pareto_mapping(df: DataFrame, share: float = 0.05, min_levels: int = 100,
-                        group: str = "brand", item: str = "item_no", metric: str = "billing",
-                        max_window_items: int = 1_000_000) -> DataFrame:
-    """W3: per (brand, item) the metric total, cumulative share and lump flag.
-
-    Brands with up to ``max_window_items`` items use one window per brand;
-    larger brands (found with a grouped count) use :func:`_cumulative_distributed`
-    so that no single task has to sort a whole oversized brand.
-    """
+                        group: str = "brand", item: str = "item_no", metric: str = "billing") -> DataFrame:
+    """W3: per (brand, item) the metric total, cumulative share and lump flag."""
     per = df.groupBy(group, item).agg(F.sum(_dec(metric)).alias("metric_sum"))
-    big = per.groupBy(group).count().where(F.col("count") > max_window_items).select(group)
-    if big.limit(1).count() == 0:
-        cum = _cumulative_window(per, group, item)
-    else:
-        cum = _cumulative_window(per.join(big, group, "left_anti"), group, item).unionByName(
-            _cumulative_distributed(per.join(big, group, "left_semi"), group, item))
+    cum = _cumulative(per, group, item)
     keep = Decimal(1) - Decimal(str(share))
     # exact: decimal(30,8) * decimal(p,s) stays within 38 digits (no rounding)
     over = F.col("cum_sum") > F.col("total").cast("decimal(30,8)") * F.lit(keep)
@@ -53,17 +39,8 @@ def item_pareto_mapping(df: DataFrame, share: float = 0.05, min_levels: int = 10
                       "levels", (over & (F.col("levels") > min_levels)).alias("lumped"))
 
 
-def _cumulative_window(per: DataFrame, group: str, item: str) -> DataFrame:
-    w_all = Window.partitionBy(group)
-    w_cum = (Window.partitionBy(group).orderBy(F.desc("metric_sum"), F.asc(item))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (per.withColumn("cum_sum", F.sum("metric_sum").over(w_cum))
-               .withColumn("total", F.sum("metric_sum").over(w_all))
-               .withColumn("levels", F.count("*").over(w_all)))
-
-
-def _cumulative_distributed(per: DataFrame, group: str, item: str) -> DataFrame:
-    """Exact running sums for oversized groups without a per-group task.
+def _cumulative(per: DataFrame, group: str, item: str) -> DataFrame:
+    """Exact running sums by metric descending, then item (null last), without a task per group.
 
     A range-partitioned sort on (group, metric desc, item) spreads a large
     group over many ordered partitions; the partition id is written together
@@ -74,10 +51,10 @@ def _cumulative_distributed(per: DataFrame, group: str, item: str) -> DataFrame:
     from ..session import materialize
     spark = per.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    order = [F.col(group), F.desc("metric_sum"), F.asc(item)]
+    order = [F.col(group), F.desc("metric_sum"), F.asc_nulls_last(item)]
     placed = materialize(per.repartitionByRange(n, *order).sortWithinPartitions(*order)
                             .withColumn("_pid", F.spark_partition_id()), "pareto-placed")
-    w_local = (Window.partitionBy("_pid", group).orderBy(F.desc("metric_sum"), F.asc(item))
+    w_local = (Window.partitionBy("_pid", group).orderBy(F.desc("metric_sum"), F.asc_nulls_last(item))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = placed.withColumn("_local", F.sum("metric_sum").over(w_local))
     slices = placed.groupBy(group, "_pid").agg(F.sum("metric_sum").alias("_slice"), F.count("*").alias("_n"))
@@ -85,8 +62,8 @@ def _cumulative_distributed(per: DataFrame, group: str, item: str) -> DataFrame:
     offsets = (slices.withColumn("_offset", F.coalesce(F.sum("_slice").over(w_prev), F.lit(0).cast("decimal(38,8)")))
                      .withColumn("total", F.sum("_slice").over(Window.partitionBy(group)))
                      .withColumn("levels", F.sum("_n").over(Window.partitionBy(group)))
-                     .select(group, "_pid", "_offset", "total", "levels"))
-    return (local.join(offsets, [group, "_pid"])
+                     .select(F.col(group).alias("_of"), F.col("_pid").alias("_in"), "_offset", "total", "levels"))
+    return (local.join(offsets, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_pid") == F.col("_in")))
                  .select(group, item, "metric_sum",
                          # narrower operands keep the sum at scale 8 (38+38 digits would drop one)
                          (F.col("_local").cast("decimal(30,8)") + F.col("_offset").cast("decimal(30,8)"))
@@ -142,20 +119,15 @@ def feature_pareto_mapping(df: DataFrame, cols: list[str], share: float = 0.10,
     """W4: per (feature, level) the metric total, cumulative share and lump flag.
 
     The columns are unpivoted into (feature, level, metric) and aggregated in
-    one pass; one window per feature (a handful of levels) marks the tail.
+    one pass; running sums per feature mark the tail.
     NULL is a level of its own for the counts and sums but is never renamed.
     """
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level"), _dec(metric).alias("m"))
         for c in cols])).alias("s")).select("s.*")
     per = stacked.groupBy("feature", "level").agg(F.sum("m").alias("metric_sum"))
-    w_all = Window.partitionBy("feature")
-    w_cum = (Window.partitionBy("feature").orderBy(F.desc("metric_sum"), F.asc_nulls_last("level"))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    per = _cumulative(per, "feature", "level")
     keep = Decimal(1) - Decimal(str(share))
-    per = (per.withColumn("cum_sum", F.sum("metric_sum").over(w_cum))
-              .withColumn("total", F.sum("metric_sum").over(w_all))
-              .withColumn("levels", F.count("*").over(w_all)))
     # exact: decimal(30,8) * decimal(p,s) stays within 38 digits (no rounding)
     over = F.col("cum_sum") > F.col("total").cast("decimal(30,8)") * F.lit(keep)
     return per.select("feature", "level", F.col("metric_sum").cast("double").alias("metric_sum"),
@@ -165,12 +137,12 @@ def feature_pareto_mapping(df: DataFrame, cols: list[str], share: float = 0.10,
 
 def apply_feature_pareto(df: DataFrame, mapping: DataFrame, cols: list[str], label: str = "Other") -> DataFrame:
     """PF23: replace lumped levels by ``label`` (one join per column against
-    the lumped levels of that column, broadcast after a size check)."""
+    the lumped levels of that column; AQE broadcasts them where they are small)."""
     out = df
     for c in cols:
         m = (mapping.where((F.col("feature") == c) & F.col("lumped"))
                     .select(F.col("level").alias(f"_lv_{c}"), F.lit(True).alias(f"_hit_{c}")))
-        out = out.join(broadcast_if_small(m), F.col(c).cast("string") == F.col(f"_lv_{c}"), "left")
+        out = out.join(m, F.col(c).cast("string") == F.col(f"_lv_{c}"), "left")
         out = out.withColumn(c, F.when(F.col(f"_hit_{c}"), F.lit(label)).otherwise(F.col(c).cast("string"))) \
                  .drop(f"_lv_{c}", f"_hit_{c}")
     return out

@@ -122,11 +122,25 @@ def conservation(before: dict[str, tuple[DataFrame, str]], after: DataFrame) ->
 
 
 def unmapped_keys(facts: DataFrame, master: DataFrame, fact_key: str, master_key: str) -> DataFrame:
-    """DQ6 / J14 / SE6: distinct fact keys that have no master row."""
-    k = facts.select(F.col(fact_key).alias("key")).where(F.col("key").isNotNull()).distinct()
+    """DQ6: fact keys that have no master row, with the fact rows that carry them."""
+    k = facts.where(F.col(fact_key).isNotNull()).groupBy(F.col(fact_key).alias("key")).agg(F.count("*").alias("fact_rows"))
     return k.join(master.select(F.col(master_key).alias("key")), "key", "left_anti")
 
 
+def facts_without_summary(facts: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """J14: fact rows, summed by ``keys``, whose key the summary does not hold (null keys never match)."""
+    per = facts.groupBy(*keys).agg(F.count("*").alias("fact_rows"), F.sum("quantity").cast("bigint").alias("quantity"))
+    return per.join(summary.select(*keys), keys, "left_anti")
+
+
+def key_set_sizes(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """SE6: how many distinct keys both frames hold, and how many only one of them."""
+    x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
+    parts = [("both", x.intersect(y)), ("first_only", x.subtract(y)), ("second_only", y.subtract(x))]
+    sized = [part.select(F.lit(name).alias("side")) for name, part in parts]
+    return reduce(lambda p, q: p.unionByName(q), sized).groupBy("side").agg(F.count("*").alias("keys"))
+
+
 def key_uniqueness(df: DataFrame, key: str) -> DataFrame:
     """DQ8: rows vs distinct keys (one row)."""
     return df.agg(F.count("*").alias("row_count"), F.count_distinct(key).alias("distinct_keys"))

@@ -121,34 +121,6 @@ def weekly_cells(stock: DataFrame, purchase_w: DataFrame, transfer_w: DataFrame,
         "num_of_customers", "num_distinct_customers", *SALES_OUT)
 
 
-def weekly_cells_joined(stock: DataFrame, purchase_w: DataFrame, transfer_w: DataFrame,
-                        sales_w: DataFrame, brand_from_sales: bool = True) -> DataFrame:
-    """The same merge written as three FULL OUTER JOINs (kept to test equality)."""
-    s, p, t, x = _sides(stock, purchase_w, transfer_w, sales_w, brand_from_sales)
-    out = s.drop("_side")
-    for side in (p, t, x):
-        side = side.drop("_side")
-        a, b = out.alias("a"), side.alias("b")
-        cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEYS]
-        j = a.join(b, cond, "full_outer")
-        keys = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in KEYS]
-        rest = [F.col(f"a.{c}") for c in out.columns if c not in KEYS] + \
-               [F.col(f"b.{c}") for c in side.columns if c not in KEYS]
-        out = j.select(*keys, *rest)
-    for c in ["_brand_p", "_brand_t", "_brand_x"]:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-    return out.select(
-        *KEYS, "closing_date",
-        F.coalesce("_brand_s", "_brand_p", "_brand_t", "_brand_x").alias("brand"),
-        "quantity", "purchase_quantity", "transfer_quantity", "sales_quantity",
-        "purchase_cost_amount", "purchase_mrp", "purchase_date",
-        F.coalesce("_spm_s", "_spm_p", "_spm_t", "_spm_x").alias("stock_prevailing_mrp"),
-        "store_in", "product_group_code", "transfer_cost_amount", "sales_department",
-        F.datediff("closing_date", "purchase_date").alias("days_to_sell"),
-        "num_of_customers", "num_distinct_customers", *SALES_OUT)
-
-
 def dedup_on_key(df: DataFrame, key: str | list[str], order: list | None = None) -> DataFrame:
     """SE5: keep one row per key, chosen by an explicit order (deterministic)."""
     from pyspark.sql import Window

@@ -25,5 +25,6 @@ def q_scan(spark, sf_dir):
     path = IO.shared_scratch(spark, "week-files")
     IO.write_weekly_files(t.closing_stock_raw.where("closing_date IS NOT NULL"), "closing_date", path)
     df = IO.read_weekly_files(spark, path, IO.CLOSING_STOCK_SCHEMA)
-    df = IO.rename_positional(df, [c for c in df.columns])
-    return df.groupBy("file_week").agg(F.count("*").alias("rows"), F.sum("quantity").cast("bigint").alias("quantity"))
+    df = IO.rename_positional(df, [f"field{i}" for i in range(len(df.columns) - 1)] + ["file_week"])
+    on_hand = f"field{IO.CLOSING_STOCK_SCHEMA.names.index('quantity')}"
+    return df.groupBy("file_week").agg(F.count("*").alias("rows"), F.sum(on_hand).cast("bigint").alias("quantity"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fiscal import week_label
 from ..operators import grid, quality
 from ..operators.fuzzy import fuzzy_level_matches
 from ..operators.weekly import WeeklySummary
@@ -64,10 +65,29 @@ def q_conservation(spark, sf_dir):
     return quality.conservation(before, ws.summary())
 
 
-@query("untransacted_items", ids="DQ6 SE6 J14", sql=S.untransacted_items_sql)
-def q_untransacted(spark, sf_dir):
+@query("unmapped_stores", ids="DQ6", sql=S.unmapped_stores_sql)
+def q_unmapped_stores(spark, sf_dir):
+    """Stores of the four facts that the cleaned store master (non-stores removed) does not hold."""
+    t = RetailTables(spark, sf_dir)
+    stores = t.store_master.join(t.stores_to_be_removed, F.col("store_code") == F.col("location_code"), "left_anti")
+    codes = [t.closing_stock_raw.select("location_code"), t.purchase_raw.select("location_code"),
+             t.transfer_raw.select(F.col("store_in").alias("location_code")), t.sales_raw.select("location_code")]
+    facts = codes[0].unionByName(codes[1]).unionByName(codes[2]).unionByName(codes[3])
+    return quality.unmapped_keys(facts, stores, "location_code", "store_code")
+
+
+@query("sales_without_summary", ids="J14", sql=S.sales_without_summary_sql)
+def q_sales_without_summary(spark, sf_dir):
+    """Raw sales (returns and bulk lines included) in cells that the weekly summary does not hold."""
+    ws = WeeklySummary(RetailTables(spark, sf_dir))
+    raw = ws.t.sales_raw.where("sales_date is not null").withColumn("week", week_label("sales_date"))
+    return quality.facts_without_summary(raw, ws.summary(materialized=True), ["location_code", "item_no", "week"])
+
+
+@query("stock_sales_key_sets", ids="SE6", sql=S.stock_sales_key_sets_sql)
+def q_key_sets(spark, sf_dir):
     t = RetailTables(spark, sf_dir, "sku")
-    return quality.unmapped_keys(t.item_master, t.sales_raw, "item_no", "item_no")
+    return quality.key_set_sizes(t.closing_stock_raw, t.sales_raw, ["location_code", "item_no"])
 
 
 @query("item_key_uniqueness", ids="DQ8", sql=S.key_uniqueness_sql)

@@ -1,75 +1,66 @@
-"""DuckDB oracle SQL for the interval summary: the direct range-join form."""
+"""DuckDB oracle SQL for the interval summary: every fact is dealt to its windows and summed on its own,
+and the sums are looked up from one list of keys."""
 
 from __future__ import annotations
 
 from .sql_weekly import LOWERED, SALES_OUT, fact_ctes, mean
 
+KEY = ("location_code", "item_no", "closing_date")
+
+
+def _dealt(name: str, fact: str, store: str, day: str, span: int, sums: str) -> str:
+    """Sums of a fact per stocked window it lies in; facts in no stocked window share the null window."""
+    return f"""
+{name} AS (
+  SELECT f.{store} AS location_code, f.item_no, w.closing_date, count(*) AS lines, {sums}
+  FROM {fact} f LEFT JOIN stocked w
+    ON w.location_code = f.{store} AND w.item_no = f.item_no
+   AND f.{day} BETWEEN w.closing_date + 1 AND w.closing_date + {span}
+  GROUP BY f.{store}, f.item_no, w.closing_date)"""
+
 
 def interval_ctes(n_weeks: int) -> str:
     span = 7 * n_weeks
-    m = lambda c: mean(c)
-    sales_money = ", ".join(f"{m('b.' + c)} AS {c}" for c in SALES_OUT)
-    lowered = ", ".join(f"lower(i.{c}) AS {c}" for c in LOWERED)
-    numeric = ["item_no", "stock_prevailing_mrp", "quantity", "purchase_quantity", "transfer_quantity",
-               "cost_amount", "purchase_mrp", "transfer_cost_amount", "sales_quantity", "days_to_sell"] + SALES_OUT
-    other = ["location_code", "closing_date", "purchase_date", "posting_date", "store_in_date", "brand",
-             "product_group_code"]
-    filled = ", ".join([f"coalesce(c.{x}, 0) AS {x}" for x in numeric] + [f"c.{x}" for x in other])
+    same = lambda t: " AND ".join(f"{t}.{k} IS NOT DISTINCT FROM key.{k}" for k in KEY)
+    bought = _dealt("bought", "purchase", "location_code", "posting_date", span,
+                    f"sum(f.quantity) AS quantity, min(f.posting_date) AS first_day, min(f.brand) AS brand, "
+                    f"{mean('f.purchase_mrp')} AS mrp")
+    moved = _dealt("moved", "transfer", "store_in", "store_in_date", span,
+                   f"sum(f.quantity) AS quantity, min(f.store_in_date) AS first_day, min(f.brand) AS brand, "
+                   f"min(f.product_group_code) AS product_group_code, {mean('f.mrp')} AS mrp, "
+                   f"{mean('f.cost_amount')} AS cost_amount")
+    sold = _dealt("sold", "sales", "location_code", "sales_date", span,
+                  f"cast(sum(f.quantity) as bigint) AS quantity, min(f.brand) AS brand, {mean('f.price')} AS mrp, "
+                  + ", ".join(f"{mean('f.' + c)} AS {c}" for c in SALES_OUT))
+    zero = lambda x: f"coalesce({x}, 0)"
     return fact_ctes("item", 0, None) + f""",
-all_dates AS (SELECT closing_date, cast(row_number() OVER (ORDER BY closing_date) as int) AS period_number
-              FROM (SELECT DISTINCT closing_date FROM closing_stock)),
-kept_dates AS (SELECT closing_date, period_number FROM all_dates
-               WHERE period_number % {n_weeks} = 1 % {n_weeks}),
-cs AS (SELECT c.* FROM kept_dates k JOIN closing_stock c ON c.closing_date = k.closing_date),
-pj AS (
-  SELECT coalesce(a.location_code, b.location_code) AS location_code,
-         coalesce(a.item_no, b.item_no) AS item_no, a.closing_date AS closing_date,
-         min(a.purchase_date) AS purchase_date, min(b.posting_date) AS posting_date,
-         coalesce({m('a.stock_prevailing_mrp')}, {m('b.purchase_mrp')}) AS stock_prevailing_mrp,
-         coalesce(min(a.brand), min(b.brand)) AS brand, {m('a.quantity')} AS quantity,
-         sum(b.quantity) AS purchase_quantity, {m('a.cost_amount')} AS cost_amount,
-         {m('a.purchase_mrp')} AS purchase_mrp
-  FROM cs a FULL OUTER JOIN purchase b
-    ON a.location_code = b.location_code AND a.item_no = b.item_no
-   AND b.posting_date > a.closing_date AND b.posting_date <= a.closing_date + {span}
-  GROUP BY 1, 2, 3),
-tj AS (
-  SELECT coalesce(a.location_code, b.store_in) AS location_code,
-         coalesce(a.item_no, b.item_no) AS item_no, a.closing_date AS closing_date,
-         min(a.purchase_date) AS purchase_date, min(a.posting_date) AS posting_date,
-         min(b.store_in_date) AS store_in_date,
-         coalesce({m('a.stock_prevailing_mrp')}, {m('b.mrp')}) AS stock_prevailing_mrp,
-         coalesce(min(a.brand), min(b.brand)) AS brand, {m('a.quantity')} AS quantity,
-         {m('a.purchase_quantity')} AS purchase_quantity, sum(b.quantity) AS transfer_quantity,
-         {m('a.cost_amount')} AS cost_amount, {m('a.purchase_mrp')} AS purchase_mrp,
-         min(b.product_group_code) AS product_group_code, {m('b.cost_amount')} AS transfer_cost_amount
-  FROM pj a FULL OUTER JOIN transfer b
-    ON a.location_code = b.store_in AND a.item_no = b.item_no
-   AND b.store_in_date > a.closing_date AND b.store_in_date <= a.closing_date + {span}
-  GROUP BY 1, 2, 3),
-sj AS (
-  SELECT coalesce(a.location_code, b.location_code) AS location_code,
-         coalesce(a.item_no, b.item_no) AS item_no, a.closing_date AS closing_date,
-         min(a.purchase_date) AS purchase_date, min(a.posting_date) AS posting_date,
-         min(a.store_in_date) AS store_in_date,
-         coalesce({m('a.stock_prevailing_mrp')}, {m('b.price')}) AS stock_prevailing_mrp,
-         coalesce(min(a.brand), min(b.brand)) AS brand, {m('a.quantity')} AS quantity,
-         {m('a.purchase_quantity')} AS purchase_quantity, {m('a.transfer_quantity')} AS transfer_quantity,
-         {m('a.cost_amount')} AS cost_amount, {m('a.purchase_mrp')} AS purchase_mrp,
-         min(a.product_group_code) AS product_group_code,
-         {m('a.transfer_cost_amount')} AS transfer_cost_amount,
-         cast(sum(b.quantity) as bigint) AS sales_quantity,
-         cast(datediff('day', min(a.purchase_date), a.closing_date) as int) AS days_to_sell, {sales_money}
-  FROM tj a FULL OUTER JOIN sales b
-    ON a.location_code = b.location_code AND a.item_no = b.item_no
-   AND b.sales_date > a.closing_date AND b.sales_date <= a.closing_date + {span}
-  GROUP BY 1, 2, 3),
+calendar AS (SELECT closing_date, cast(dense_rank() OVER (ORDER BY closing_date) as int) AS period_number
+             FROM (SELECT DISTINCT closing_date FROM closing_stock)),
+kept_dates AS (SELECT closing_date, period_number FROM calendar WHERE period_number % {n_weeks} = 1 % {n_weeks}),
+stocked AS (SELECT s.* FROM closing_stock s SEMI JOIN kept_dates k ON k.closing_date = s.closing_date),{bought},{moved},{sold},
+key AS (
+  SELECT location_code, item_no, closing_date FROM stocked
+  UNION SELECT location_code, item_no, closing_date FROM bought
+  UNION SELECT location_code, item_no, closing_date FROM moved
+  UNION SELECT location_code, item_no, closing_date FROM sold),
 interval_summary AS (
-  SELECT {filled}, s.store_type, s.store_location, s.city_type, s.state, s.region,
-         coalesce(c.quantity, 0) + coalesce(c.purchase_quantity, 0) + coalesce(c.transfer_quantity, 0)
-           AS available_quantity,
-         i.case_size, i.case_size_range, i.gender, {lowered}, ac.area_code, k.period_number
-  FROM sj c LEFT JOIN store_master s ON c.location_code = s.store_code
-  LEFT JOIN item_master i ON c.item_no = i.item_no
-  LEFT JOIN area_codes ac ON s.state = ac.state_code
-  LEFT JOIN kept_dates k ON c.closing_date = k.closing_date)"""
+  SELECT key.location_code, {zero('key.item_no')} AS item_no, key.closing_date,
+         st.purchase_date, b.first_day AS posting_date, m.first_day AS store_in_date,
+         coalesce(st.brand, b.brand, m.brand, x.brand) AS brand, m.product_group_code,
+         {zero('coalesce(st.stock_prevailing_mrp, b.mrp, m.mrp, x.mrp)')} AS stock_prevailing_mrp,
+         cast({zero('st.quantity')} as double) AS quantity, cast({zero('b.quantity')} as double) AS purchase_quantity,
+         cast({zero('m.quantity')} as double) AS transfer_quantity, {zero('x.quantity')} AS sales_quantity,
+         {zero('st.cost_amount')} AS cost_amount, {zero('st.purchase_mrp')} AS purchase_mrp,
+         {zero('m.cost_amount')} AS transfer_cost_amount,
+         {zero("cast(datediff('day', st.purchase_date, key.closing_date) as int)")} AS days_to_sell,
+         {", ".join(f"{zero('x.' + c)} AS {c}" for c in SALES_OUT)},
+         cast({zero('st.quantity')} + {zero('b.quantity')} + {zero('m.quantity')} as double) AS available_quantity,
+         d.store_type, d.store_location, d.city_type, d.state, d.region,
+         i.case_size, i.case_size_range, i.gender, {", ".join(f"lower(i.{c}) AS {c}" for c in LOWERED)},
+         ac.area_code, k.period_number
+  FROM key LEFT JOIN stocked st ON {same('st')} LEFT JOIN bought b ON {same('b')}
+  LEFT JOIN moved m ON {same('m')} LEFT JOIN sold x ON {same('x')}
+  LEFT JOIN kept_dates k ON k.closing_date = key.closing_date
+  LEFT JOIN store_master d ON d.store_code = key.location_code
+  LEFT JOIN item_master i ON i.item_no = key.item_no
+  LEFT JOIN area_codes ac ON ac.state_code = d.state)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.testdata import oracle_ctes
+from ..functions.fiscal import FLOW_OVERRIDES, FLOW_SHIFT, sql_week_label
 from .sql_weekly import mean, summary_ctes
 
 ATTRS = ["case_size", "case_size_range", "gender", "movement", "material", "dial_color", "strap_type",
@@ -138,10 +139,32 @@ def conservation_sql() -> str:
 SELECT measure, before, after, coalesce(before, 0) = coalesce(after, 0) AS conserved FROM ({sel})"""
 
 
-def untransacted_items_sql() -> str:
-    return oracle_ctes("sku") + """
-SELECT DISTINCT item_no AS key FROM item_master WHERE item_no IS NOT NULL
-EXCEPT SELECT item_no FROM sales_raw"""
+def unmapped_stores_sql() -> str:
+    return oracle_ctes("item") + """,
+seen AS (SELECT location_code AS code FROM closing_stock_raw UNION ALL SELECT location_code FROM purchase_raw
+         UNION ALL SELECT store_in FROM transfer_raw UNION ALL SELECT location_code FROM sales_raw)
+SELECT code AS key, count(*) AS fact_rows FROM seen
+WHERE code NOT IN (SELECT store_code FROM store_master
+                   WHERE store_code NOT IN (SELECT location_code FROM stores_to_be_removed))
+GROUP BY code"""
+
+
+def sales_without_summary_sql() -> str:
+    week = sql_week_label("sales_date", FLOW_SHIFT, FLOW_OVERRIDES)
+    return summary_ctes("item") + f"""
+SELECT location_code, item_no, week, count(*) AS fact_rows, cast(sum(quantity) as bigint) AS quantity
+FROM (SELECT *, {week} AS week FROM sales_raw WHERE sales_date IS NOT NULL) r
+WHERE NOT EXISTS (SELECT 1 FROM summary s WHERE s.location_code = r.location_code AND s.item_no = r.item_no AND s.week = r.week)
+GROUP BY location_code, item_no, week"""
+
+
+def stock_sales_key_sets_sql() -> str:
+    return oracle_ctes("sku") + """,
+k AS (SELECT location_code, item_no, max(a) AS a, max(b) AS b FROM (
+        SELECT location_code, item_no, 1 AS a, 0 AS b FROM closing_stock_raw
+        UNION ALL SELECT location_code, item_no, 0, 1 FROM sales_raw) GROUP BY 1, 2)
+SELECT CASE WHEN a + b = 2 THEN 'both' WHEN a = 1 THEN 'first_only' ELSE 'second_only' END AS side, count(*) AS keys
+FROM k GROUP BY 1"""
 
 
 def key_uniqueness_sql() -> str:

@@ -27,8 +27,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
              ignore_corrupt: bool = True) -> DataFrame:
     """IO1 + IO3: CSV scan with an explicit schema; malformed lines become NULL
     fields (PERMISSIVE) and unreadable files are skipped."""
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", str(ignore_corrupt).lower())
-    return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
+    return (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+            .option("ignoreCorruptFiles", ignore_corrupt).csv(path))
 
 
 def rename_positional(df: DataFrame, names: list[str]) -> DataFrame:
@@ -44,9 +44,9 @@ def with_file_week(df: DataFrame, col: str = "file_week", pattern: str = WEEK_IN
 
 
 def read_weekly_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """IO2 + IO4: one scan over a directory of per-week files, the week from the file name."""
+    """IO2-IO4: one scan over a directory of per-week files, the week from the file name; unreadable files are skipped."""
     df = (spark.read.schema(schema).option("header", True).option("recursiveFileLookup", "true")
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(path))
     return with_file_week(df)
 
 
@@ -56,11 +56,6 @@ def write_weekly_files(df: DataFrame, date_col: str, path: str, mode: str = "app
        .write.mode(mode).partitionBy("week_file").option("header", True).csv(path))
 
 
-def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], mode: str = "overwrite") -> None:
-    """IO7 default sink: Parquet partitioned by e.g. ``week`` (prunable)."""
-    df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
-
-
 def write_single_csv(df: DataFrame, path: str) -> None:
     """IO7 / IO9 report sink: one CSV file, only for small outputs (reports)."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -1,11 +1,12 @@
-"""Weekly stock files arriving one per week, summarised as they land (IO2 + IO8).
+"""Weekly stock files arriving one or more per week, summarised as they land (IO2 + IO8).
 
 A file-source ``readStream`` over the week folders (the week comes from the
-file path), ``availableNow`` trigger, and ``foreachBatch``: each micro-batch
-holds whole week files, so the batch summary of those weeks is final and is
-written to its own ``batch_id`` folder with overwrite — a retried batch
-replaces its output instead of appending twice. Offsets and progress live in
-a checkpoint location under the shared checkpoint directory.
+file path), ``availableNow`` trigger, and ``foreachBatch``. A micro-batch may hold
+some of a week's files only, so it just names the weeks that changed: each of them is
+summarised again from all its files and replaces its partition of the output.
+The result does not depend on how files fall into batches, and a retried batch
+writes the same partitions again. Offsets and progress live in a checkpoint location under the
+shared checkpoint directory.
 """
 
 from __future__ import annotations
@@ -18,15 +19,22 @@ from ..sources.files import CLOSING_STOCK_SCHEMA, shared_scratch, with_file_week
 
 
 def stream_weekly_stock(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                        files_per_batch: int = 50) -> None:
+                        files_per_batch: int = 200) -> None:
     stream = (spark.readStream.schema(CLOSING_STOCK_SCHEMA).option("header", True)
               .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
               .csv(source_dir))
     stream = with_file_week(stream)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("closing_date", F.coalesce("closing_date", "file_week")).drop("file_week")
-        closing_stock(rows).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        # at most one week per file of the batch
+        weeks = [r.file_week for r in batch.select("file_week").where("file_week is not null").distinct().collect()]
+        if not weeks:
+            return
+        whole = (batch.sparkSession.read.schema(CLOSING_STOCK_SCHEMA).option("header", True)
+                 .option("recursiveFileLookup", "true").csv([f"{source_dir}/*{w:%d.%m.%y}*" for w in weeks]))
+        rows = with_file_week(whole).withColumn("closing_date", F.coalesce("closing_date", "file_week"))
+        (closing_stock(rows, extra_keys=("file_week",)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("file_week").parquet(out_dir))
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -41,4 +49,4 @@ def weekly_stock_via_stream(spark: SparkSession, closing_stock_raw: DataFrame) -
     rows = closing_stock_raw.where(F.col("closing_date").isNotNull())
     write_weekly_files(rows, "closing_date", src)
     stream_weekly_stock(spark, src, out, ckpt)
-    return spark.read.parquet(out).drop("batch_id")
+    return spark.read.parquet(out).drop("file_week")
