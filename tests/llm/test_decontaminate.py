@@ -2,7 +2,10 @@ import itertools
 import random
 import re
 
-from tillroll.llm.decontaminate import AGREE, CHUNK, MASKS, WINDOW, clean_documents, overlaps
+import duckdb
+
+from tillroll.llm.decontaminate import (AGREE, CHUNK, MASKS, WINDOW, clean_documents, op3_spaced_seed_decontamination,
+                                        oracle_sql, overlaps)
 
 
 def tokens(text):
@@ -29,8 +32,7 @@ def brute(docs, items, every=False):
                 continue
             window, need = (WINDOW, AGREE) if len(b) >= WINDOW else (len(b), len(b))
             same = [0 <= k + delta < len(w) and w[k + delta] == x for k, x in enumerate(b)]
-            if any(sum(same[k:k + window]) >= need for k in range(len(b) - window + 1)
-                   if 0 <= k + delta and k + delta + window <= len(w)):
+            if any(sum(same[k:k + window]) >= need for k in range(len(b) - window + 1)):
                 out.add((d, i))
     return out
 
@@ -68,6 +70,15 @@ def test_test_tables_against_brute_force(spark, sf):
     assert {r.doc_id for r in clean_documents(docs, items).collect()} == {r.doc_id for r in docs.collect()} - bad
 
 
+def test_whole_rows_against_sql(spark, sf):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = c.sql(oracle_sql()["op3_spaced_seed_decontamination"])
+    got = op3_spaced_seed_decontamination(spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and got
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(3, None), (4, ""), (None, "the same text said again and again by all of them here"),
                                    (7, "the same text, said again and again by all of them here"), (8, "one two")],

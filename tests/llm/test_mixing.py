@@ -1,9 +1,10 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
-from tillroll.llm.mixing import mix, mixed_documents, op6_water_filling_mix, repeating_weights
+from tillroll.llm.mixing import mix, mixed_documents, op6_water_filling_mix, oracle_sql, repeating_weights
 
 
 def fill(sizes, weights, total, epochs):
@@ -46,6 +47,14 @@ def test_whole_table(spark, sf01):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_whole_table_against_sql(spark, sf):
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = c.sql(oracle_sql()["op6_water_filling_mix"])
+    got = op6_water_filling_mix(spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_odd_rows(odd_docs, no_docs):
     one = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = mix(one, repeating_weights(one)).collect()

@@ -135,3 +135,50 @@ def op6_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(docs, repeating_weights(docs), fraction=1.5, max_epochs=2.0, seed=42)
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
                         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+def oracle_sql() -> dict[str, str]:
+    """Targets from the sources in the order in which they reach their caps; the sample by running sums."""
+    passes, plan = [], "targets"
+    for p in range(1, FILL_PASSES + 1):
+        last = f"cut{p - 1}, gap{p - 1}"
+        passes.append(f"""
+run{p} as (
+  select d.none, d.src, d.key, d.size, {last},
+         sum(d.size) over (partition by d.none, d.src order by d.key range unbounded preceding) as upto
+  from doc d join {plan} t using (none, src) where d.key >= cut{p - 1} and (d.size <= gap{p - 1} or {p} = 1)),
+end{p} as (select none, src, min(key) as cut{p} from run{p} where upto > gap{p - 1} group by none, src),
+plan{p} as (
+  select t.*, coalesce(e.cut{p}, {2 ** 63 - 1}) as cut{p}, t.gap{p - 1} - coalesce((
+           select sum(size) from run{p} r where r.none = t.none and r.src = t.src
+           and (e.cut{p} is null or r.key < e.cut{p})), 0) as gap{p}
+  from {plan} t left join end{p} e using (none, src))""")
+        plan = f"plan{p}"
+    taken = " or ".join(["key < cut1"] + [f"(key >= cut{p - 1} and key < cut{p} and d.size <= gap{p - 1})"
+                                          for p in range(2, FILL_PASSES + 1)])
+    return {"op6_water_filling_mix": rf"""
+with doc as (
+  select doc_id, source is null as none, coalesce(source, '') as src,
+         cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size,
+         cast('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), '')), 1, 11) as bigint) // 4 as key
+  from documents),
+source_size as (select none, src, cast(sum(size) as bigint) as total from doc group by none, src),
+weighed as (
+  select *, cast([5, 2, 1][(row_number() over (order by none, src) - 1) % 3 + 1] as double) as w, total * 2.0::double as cap
+  from source_size),
+filling as (
+  select *, w * (((select sum(total) from source_size) * 1.5::double
+                  - coalesce(sum(cap) over (order by cap / w, none, src rows between unbounded preceding and 1 preceding), 0))
+                 / sum(w) over (order by cap / w, none, src rows between current row and unbounded following)) >= cap as full_,
+         ((select sum(total) from source_size) * 1.5::double
+                  - coalesce(sum(cap) over (order by cap / w, none, src rows between unbounded preceding and 1 preceding), 0))
+                 / sum(w) over (order by cap / w, none, src rows between current row and unbounded following) as level
+  from weighed),
+level as (select min_by(level, cap / w) as level from filling where not full_),
+reached as (select none, src, total, least(w * coalesce((select level from level), 1e300), cap) as target from weighed),
+targets as (
+  select *, 0::bigint as cut0, cast(floor(target - whole * total) as bigint) as gap0
+  from (select *, case when total = 0 then 0 else cast(floor(target / total) as bigint) end as whole from reached)),{",".join(passes)}
+select d.doc_id, d.size, t.total as source_size, t.target,
+       d.size * (t.whole + case when d.size > 0 and ({taken}) then 1 else 0 end) as taken
+from doc d join {plan} t using (none, src)"""}
