@@ -110,6 +110,12 @@ def scoring_frame(candidates: DataFrame, store_master: DataFrame, item_master: D
                       .withColumn("period", F.lit(period)))
 
 
+def latest_features(df: DataFrame, keys: list[str], cols: list[str], order_col: str = "period") -> DataFrame:
+    """J21: per key, the mean of ``cols`` in the key's last period (what is known when the next one is scored)."""
+    last = df.groupBy(*keys).agg(F.max(order_col).alias(order_col))
+    return df.join(last, [*keys, order_col]).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
+
+
 def ordered_period_split(df: DataFrame, train_frac: float = 0.8, order_col: str = "period",
                          col: str = "is_train") -> DataFrame:
     """SO3: ordered split — the earliest periods up to ``train_frac`` of the

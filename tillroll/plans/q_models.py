@@ -258,12 +258,44 @@ def q_boosted_search(spark, sf_dir):
                                             est.minWeightFractionPerNode: LEAF_SHARES})
 
 
+def _scoring_rows(spark, sf_dir, df):
+    """FE10, J21, PF23: every SKU retailed at a store as the models know it.
+
+    The item lumping of the training frame is replayed (lumped SKUs are 'Others' with the usual attributes), prices
+    and stock are those of the last period known for the store type and item, or else for the item.
+    ``own_item`` and ``own_brand`` keep the SKU.
+    """
+    from ..operators import assortment as A
+    from ..operators import pareto as PA
+    c = DemandChain(spark, sf_dir)
+    t = c.t
+    cand = A.candidates(t.sales_raw, t.predictions, t.profit).drop("log_share")
+    next_period = df.agg(F.max("period")).head()[0] + 1
+    score = (FE.scoring_frame(cand, t.store_master, t.item_master, next_period)
+             .withColumn("own_item", F.col("item_no")).withColumn("own_brand", F.col("brand")))
+    lumped = c.mapping.select("item_no", "brand", F.col("lumped").alias("_lumped"))
+    score = score.join(lumped, ["item_no", "brand"], "left")
+    hit = F.coalesce(F.col("_lumped"), F.lit(False))
+    usual = PA.global_modes(c.kept, PA.ITEM_COLS).head()
+    types = dict(score.dtypes)
+    for a in PA.ITEM_COLS:
+        score = score.withColumn(a, F.when(hit, F.lit(usual[f"_mode_{a}"]).cast(types[a])).otherwise(F.col(a)))
+    for k in ("item_no", "brand"):
+        score = score.withColumn(k, F.when(hit, F.lit("Others")).otherwise(F.col(k).cast("string")))
+    known = ["stock_prevailing_mrp", "available_quantity"]
+    near = FE.latest_features(df, ["store_type", "item_no"], known)
+    item = FE.latest_features(df, ["item_no"], known).select("item_no", *[F.col(x).alias(f"_{x}") for x in known])
+    score = score.join(near, ["store_type", "item_no"], "left").join(item, "item_no", "left")
+    for x in known:
+        score = score.withColumn(x, F.coalesce(F.col(x), F.col(f"_{x}")))
+    return FE.prepare(score.drop("_lumped", *[f"_{x}" for x in known]))
+
+
 @query("ml_two_stage_assortment", ids="ML21 FE10 OPT2")
 def q_two_stage(spark, sf_dir):
     """Classify whether a (store, SKU) sells, regress the log share of the
     predicted sellers, and feed the predictions to the greedy assortment."""
     from ..operators import assortment as A
-    from ..sources.testdata import RetailTables
     from .q_assortment import ASSORTMENT_SIZE, MARKET_SIZE
     df = model_frame(spark, sf_dir)
     train, _ = _split(df)
@@ -271,18 +303,10 @@ def q_two_stage(spark, sf_dir):
                          M.logistic_regression())
     reg = M.fit_pipeline(train.where(F.col("log_share").isNotNull()).withColumnRenamed("log_share", "label"),
                          M.linear_regression())
-    t = RetailTables(spark, sf_dir, "sku")
-    cand = A.candidates(t.sales_raw, t.predictions, t.profit)
-    period = df.agg(F.max("period")).head()[0]
-    score = FE.prepare(FE.scoring_frame(cand.drop("log_share"), t.store_master,
-                                        t.item_master.drop("case_size"), period)
-                       .withColumn("item_no", F.col("item_no").cast("string")))
-    for c in FE.NUM_COLS:
-        if c not in score.columns:
-            score = score.withColumn(c, F.lit(0.0))
+    score = _scoring_rows(spark, sf_dir, df)
     sellers = clf.transform(score).where(F.col("prediction") == 1.0).select(*score.columns)
-    pred = reg.transform(sellers).select(F.col("location_code"), F.col("brand"),
-                                         F.col("item_no").cast("long").alias("item_no"),
+    pred = reg.transform(sellers).select(F.col("location_code"), F.col("own_brand").alias("brand"),
+                                         F.col("own_item").alias("item_no"),
                                          F.col("prediction").alias("log_share"), "net_profit_per_unit")
     return A.greedy_assortment(pred, ASSORTMENT_SIZE, MARKET_SIZE)
 
