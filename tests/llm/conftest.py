@@ -23,3 +23,12 @@ def no_docs(odd_docs):
 @pytest.fixture(scope="session")
 def sf01():
     return "/root/testdata/sf0.01"
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small inputs: fewer tasks a job."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
