@@ -63,12 +63,13 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     shards some shards stay empty. Other columns are not read.
     """
     metadata = [(c, k) for c, k in metadata if c in docs.columns] or [(doc_id, "category")]
-    base = checkpointed(_points(docs, doc_id, text, metadata), "points")
+    # the node is written too: joined as a literal it would make a nested loop
+    base = checkpointed(_points(docs, doc_id, text, metadata).withColumn("lo", F.lit(0).cast("long")), "points")
     total, rows = base.agg(F.sum("size"), F.count("*")).first()
     if not rows:
         return base.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     k = shards or -(-total // target_bytes)
-    base = base.withColumns({"lo": F.lit(0).cast("long"), "k": F.lit(k).cast("long")})
+    base = base.withColumn("k", F.lit(k).cast("long"))
     ends = [e for i in range(len(metadata)) for e in (F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))]
     ranges, parts = None, k
     while parts > 1:
