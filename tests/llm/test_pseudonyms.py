@@ -48,6 +48,28 @@ def test_invalid_values_stay():
         assert P.replace(text) == {"text": text, "found": []}
 
 
+def test_ibans_before_and_behind_other_tokens():
+    for iban in ("AT611904300234573201", "AT61 1904 3002 3457 3201", "BE68539007547034", "ES91 2100 0418 4502 0005 1332"):
+        for before, behind in (("", " BIC"), ("", " EUR 100"), ("", " BIC X1 2024"), ("XX12 ", ""), ("ID42 1234 ", " SWIFT")):
+            got = P.replace(before + iban + behind)
+            assert [(f["kind"], f["start"], f["length"]) for f in got["found"]] == [("iban", len(before), len(iban))]
+            assert iban not in got["text"] and got["text"].endswith(behind)
+    both = P.replace("BE68539007547034 AT611904300234573201 BIC")
+    assert [f["length"] for f in both["found"]] == [16, 20]
+    text = "AT611904300234573201 BIC BE68539007547034 EUR"
+    assert BACK.replace(P.replace(text)["text"])["text"] == text
+
+
+def test_a_card_behind_another_group_is_found():
+    assert [f["start"] for f in P.replace("1234 4111 1111 1111 1111")["found"]] == [5]
+
+
+def test_dates_of_timestamps():
+    day = P.replace("2024-01-02")["text"]
+    assert P.replace("at 2024-01-02T10:00:00Z.")["text"] == f"at {day}T10:00:00Z."
+    assert P.replace("2024-01-02Tx")["found"] == P.replace("2024-01-02a")["found"] == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["word ", "4111111111111111 ", "a.b@c.example.org,", "x" * 90, " ", "10.0.0.1 ", "1999-12-31\n",
                                  "7", "@", "-", "é"]), max_size=30).map("".join))

@@ -20,6 +20,10 @@ email      name and domain                 letters and digits of the name, by ca
 
 Numeric dates with slashes or dots are read as day first if the first number
 cannot be a month, or the separator is a dot; else as month first.
+
+A space may part an IBAN's groups or end it, so where the longest reading is not
+valid the shorter ones up to a space are tried (of a known country its own length first), and the search
+goes on right behind a valid value, or behind the first character of an invalid one.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ PATTERN = re.compile(rf"""
     (?P<email>(?<![\w.%+-])[A-Za-z0-9._%+-]{{1,64}}+@(?:[A-Za-z0-9-]{{1,63}}\.){{1,4}}[A-Za-z]{{2,24}}(?![\w-]))
   | (?P<iban>(?<!\w)[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
   | (?P<ip>(?<![\w.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?!\w|\.[0-9]))
-  | (?P<iso>(?<![\w-])[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![\w-]))
+  | (?P<iso>(?<![\w-])[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:(?=[Tt][0-9])|(?![\w-])))
   | (?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
   | (?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?!\w))
   | (?P<card>(?<![\w-])(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<gap>[ -])[0-9]{{4}}(?P=gap)[0-9]{{4}}(?P=gap)[0-9]{{4}}
@@ -54,24 +58,48 @@ PATTERN = re.compile(rf"""
   | (?P<named>(?<!\w)(?:[0-9]{{1,2}}[ ](?:{_MONTH})|(?:{_MONTH})[ ][0-9]{{1,2}},)[ ][0-9]{{4}}(?!\w))
 """, re.X)
 
+# fixed values: characters of an IBAN by country
+IBAN_LENGTH = {country: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in names.split()}
+SHORTEST_IBAN = 12
+
 _HINT = re.compile("[0-9@]")
 BEFORE, AFTER = 80, 400  # every match lies so near before and after each of its digits or its @
 
 
-def matches(text: str) -> Iterator[re.Match]:
-    """All matches of ``PATTERN``, looked for only around digits and @."""
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """Where matches of ``PATTERN`` can lie: around digits and @."""
     at = upto = 0
     for hint in _HINT.finditer(text):
         if hint.start() >= upto + BEFORE and upto:
-            yield from PATTERN.finditer(text, at, upto)
+            yield at, upto
             upto = 0
         if not upto:
             at = max(0, hint.start() - BEFORE)
         upto = hint.start() + AFTER
     if upto:
+        yield at, upto
+
+
+def matches(text: str) -> Iterator[re.Match]:
+    """All matches of ``PATTERN``, looked for only in ``windows``."""
+    for at, upto in windows(text):
         yield from PATTERN.finditer(text, at, upto)
 
 
+def readings(m: re.Match) -> list[str]:
+    """What a match may be: itself, and for an IBAN also its beginnings up to a space."""
+    if m.lastgroup != "iban":
+        return [m[0]]
+    ends = [len(m[0]), *(x.start() for x in re.finditer(" ", m[0]))]
+    size = {end: end - m[0].count(" ", 0, end) for end in ends}
+    usual = IBAN_LENGTH.get(m[0][:2])
+    return [m[0][:end] for end in sorted(ends, key=lambda end: (size[end] != usual, -end)) if size[end] >= SHORTEST_IBAN]
+
+
 class Feistel:
     """A keyed permutation of 0 .. size - 1, by alternating Feistel rounds on a grid of two halves."""
 
@@ -227,13 +255,17 @@ class Pseudonyms:
         if text is None:
             return {"text": None, "found": []}
         found, out, at = [], [], 0
-        for m in matches(text):
-            new = getattr(self, m.lastgroup)(m[0])
-            if new is not None:
-                kind = "date" if m.lastgroup in ("iso", "numeric", "named") else m.lastgroup
-                found.append({"kind": kind, "start": m.start(), "length": m.end() - m.start(), "pseudonym": new})
-                out += [text[at:m.start()], new]
-                at = m.end()
+        for near, upto in windows(text):
+            while m := PATTERN.search(text, near, upto):
+                near = m.start() + 1
+                for value in readings(m):
+                    new = getattr(self, m.lastgroup)(value)
+                    if new is not None:
+                        kind = "date" if m.lastgroup in ("iso", "numeric", "named") else m.lastgroup
+                        found.append({"kind": kind, "start": m.start(), "length": len(value), "pseudonym": new})
+                        out += [text[at:m.start()], new]
+                        at = near = m.start() + len(value)
+                        break
         return {"text": "".join([*out, text[at:]]) if found else text, "found": found}
 
 
@@ -246,7 +278,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", into: str = "p
     """``docs`` with ``text`` replaced and the array ``into`` of (kind, start, length, pseudonym).
 
     ``start`` and ``length`` are in characters of the original text. ``back`` undoes it with the same key, but
-    for day-first slash dates whose pseudonym is written month first.
+    for day-first slash dates whose pseudonym is written month first, and for a value that stands by groups with which
+    its pseudonym happens to pass the check of a longer or earlier card or IBAN.
     Null texts stay null and empty ones empty, with an empty array; repeated rows
     are treated alike; an empty table gives no rows; other columns are kept. A clashing ``into`` gets underscores.
     """
