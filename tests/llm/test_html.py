@@ -32,6 +32,15 @@ def test_broken_markup():
     assert page_text(None) is None
 
 
+def test_quotes_open_values_only_behind_an_equals_sign():
+    for page, text in [('<a href="x"">shown</a> and <b class="k">more</b>', "shown and more"),
+                       ("<p title=it's>all of it<p>is here", "all of it\n\nis here"), ('<p x"y>a</p>"b', 'a\n\n"b'),
+                       ('<a href=x="y>a</a> z">b', 'a z">b'), ('<a title = "1 > 0">a</a>', "a"), ("<a title=>b'c</a>", "b'c"),
+                       ("<a b' c=\"d>e\">f</a>'", "f'"), ('<i x"hidden>a</i>', "a"), ('<i x"y hidden>a</i>b', "b"),
+                       ("<img alt=\"it's 'so'\">", "it's 'so'"), ('<p title="x>lost', ""), ("<a" + " b'" * 50_000 + ">c", "c")]:
+        assert page_text(page) == text
+
+
 def test_all_visible_words_of_the_pages_are_kept(spark, sf):
     import re
     pages = spark.read.parquet(f"{sf}/pages.parquet")

@@ -51,10 +51,11 @@ CLOSES = {k: (_set(a), _set(b)) for k, (a, b) in CLOSES.items()}
 SCOPES = _set("table td th caption button object template html")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)
-    |<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)""", re.S | re.X)
+    |<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[\s/]++
+        |[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>|\Z)))?+)*+)(?:>|\Z)""", re.S | re.X)
 _HIDES = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+)))?+""")
 
 
 class Node:
@@ -67,8 +68,8 @@ class Node:
 def _attributes(rest: str) -> dict[str, str]:
     found: dict[str, str] = {}
     if rest and not rest.isspace():
-        for name, value in _ATTRIBUTE.findall(rest):
-            found.setdefault(name.lower(), html.unescape(value.strip("\"'")))
+        for name, *value in _ATTRIBUTE.findall(rest):
+            found.setdefault(name.lower(), html.unescape("".join(value)))
     return found
 
 
