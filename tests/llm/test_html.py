@@ -41,6 +41,34 @@ def test_quotes_open_values_only_behind_an_equals_sign():
         assert page_text(page) == text
 
 
+def test_what_is_no_part_of_a_table_stands_before_it():
+    for page, text in [("<table><tbody><form><tr><td>x</td></tr></form></tbody></table>", "x"),
+                       ("<table><tbody>stray<tr><td>x</table>", "stray\n\nx"),
+                       ("<table><thead><tr><th>h</thead><tbody><div>d<tr><td>x<tr><td>y</div></table>z", "d\n\nh\nx\ny\n\nz"),
+                       ("<table><tr><td>a</td><b>bold</b><td>c</tr> tail <tfoot><p>foot<p>more</table>",
+                        "bold tail\n\nfoot\n\nmore\n\na | c"),
+                       ("<table hidden><tbody><i>seen</i><tr><td>no</table>", "seen"),
+                       ("<table><colgroup><col>text<tr><td>x</table>", "text\n\nx"),
+                       ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>", "a  b  c | d"),
+                       ("<table><tr><td>a<div><table><tr><td>b</table>c</div>d<td>e</table>", "a  b  c d | e"),
+                       ("<table><tr><td>a</td><table><tr><td>b</table>", "a\n\nb"),
+                       ("<table><template><tr><td>no</template>yes<tr><td>x</table>", "yes\n\nx"),
+                       ("<tr><td>a<td>b<tr>c", "a\nb\nc"), ("<div>" * 148 + "<table><tbody><tr><td>x</table>y", "x\n\ny")]:
+        assert page_text(page).split("\n") == text.split("\n"), page
+
+
+def test_random_markup_keeps_its_words():
+    import random
+    rng = random.Random(3)
+    names = "table thead tbody tfoot tr td th caption colgroup div p b form ul li span center h2".split()
+    for _ in range(3000):
+        parts = []
+        for i in range(rng.randrange(1, 25)):
+            parts += [f"<{rng.choice(['', '', '/'])}{rng.choice(names)}>"] + [f" w{i} "] * rng.randrange(2)
+        words = [x for x in "".join(parts).replace(">", "> ").split() if x.startswith("w")]
+        assert sorted(x for x in page_text("".join(parts)).split() if x.startswith("w")) == sorted(words), "".join(parts)
+
+
 def test_all_visible_words_of_the_pages_are_kept(spark, sf):
     import re
     pages = spark.read.parquet(f"{sf}/pages.parquet")

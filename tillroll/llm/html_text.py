@@ -49,6 +49,14 @@ CLOSES = {
 }
 CLOSES = {k: (_set(a), _set(b)) for k, (a, b) in CLOSES.items()}
 SCOPES = _set("table td th caption button object template html")
+# fixed values: elements that hold only parts of a table, the open elements under which these parts stand, and what seals them off
+TABLE_PARTS = _set("table thead tbody tfoot tr")
+UNDER = {"tr": _set("table thead tbody tfoot"), "td": TABLE_PARTS, "th": TABLE_PARTS,
+         **dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup", "col"), _set("table"))}
+IN_TABLE = frozenset(UNDER) | _set("script style template")
+SEALED = _set("template noscript svg math")
+ENDS_ROWS = SEALED | _set("table")
+HOLDS_TABLES = SEALED | _set("td th caption")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[\s/]++
@@ -90,6 +98,46 @@ def parse(page: str) -> Node:
             elif stack[i].name in stop:
                 break
 
+    def back_to(names: frozenset[str]) -> bool:
+        """Close the open elements above the innermost of these names, if there is one on this side of a sealed element."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in names:
+                del stack[i + 1:]
+                return True
+            if stack[i].name in SEALED:
+                break
+        return False
+
+    def end_table() -> None:
+        """Close the innermost table, unless a cell or caption of it is open: a table in parts of another ends that one."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name == "table":
+                del stack[i:]
+                break
+            if stack[i].name in HOLDS_TABLES:
+                break
+
+    def table_above() -> int:
+        """The place of the table whose part the innermost open element is (but no cell or caption), else 0."""
+        if stack[-1].name == "colgroup":
+            back_to(UNDER["colgroup"])
+        i = len(stack) - 1
+        while stack[i].name in TABLE_PARTS and stack[i].name != "table":
+            i -= 1
+        return i if stack[i].name == "table" else 0
+
+    def add(item: str | Node, fostered: bool = True) -> None:
+        """Append to the innermost open element; what cannot stand in a part of a table goes before the table."""
+        i = table_above() if fostered else 0
+        if i:
+            stack[i - 1].inner.insert(-1, item)
+        else:
+            stack[-1].inner.append(item)
+
+    def text(piece: str) -> None:
+        if piece:
+            add(piece, not piece.isspace())
+
     def implied(name: str) -> None:
         top = stack[-1].name
         if name in ("td", "th") and top in ("table", "thead", "tbody", "tfoot"):
@@ -97,7 +145,7 @@ def parse(page: str) -> Node:
 
     def push(name: str, attrs: dict[str, str]) -> Node:
         node = Node(name, attrs)
-        stack[-1].inner.append(node)
+        add(node, name not in IN_TABLE)
         if name not in VOID and len(stack) < DEEPEST:
             stack.append(node)
         return node
@@ -105,10 +153,9 @@ def parse(page: str) -> Node:
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            stack[-1].inner.append(page[at:])
+            text(page[at:])
             break
-        if m.start() > at:
-            stack[-1].inner.append(page[at:m.start()])
+        text(page[at:m.start()])
         at = m.end()
         name = m["name"]
         if name is None or not m[0].endswith(">"):
@@ -116,11 +163,12 @@ def parse(page: str) -> Node:
         name = name.lower()
         if m["end"]:
             if name == "p" and not any(x.name == "p" for x in stack):
-                stack[-1].inner.append(Node("p", {}))
+                add(Node("p", {}))
             elif name == "br":
-                stack[-1].inner.append(Node("br", {}))
+                add(Node("br", {}))
             elif name not in ("html", "body"):
-                close(frozenset((name,)), frozenset() if name in SCOPES else SCOPES, False)
+                row_or_group = name in TABLE_PARTS and name != "table"  # ends the cell in it, too
+                close(frozenset((name,)), ENDS_ROWS if row_or_group else frozenset() if name in SCOPES else SCOPES, False)
             continue
         attrs = _attributes(m["rest"])
         if name in ("html", "body"):
@@ -130,8 +178,13 @@ def parse(page: str) -> Node:
             continue
         if name in ENDS_P:
             close(_set("p"), SCOPES)
-        if name in CLOSES:
-            close(*CLOSES[name])
+        if name == "table":
+            end_table()
+        if name == "form" and table_above():
+            continue
+        if name in CLOSES or name in UNDER:
+            if not back_to(UNDER.get(name, frozenset())) and name in CLOSES:
+                close(*CLOSES[name])
             implied(name)
         node = push(name, attrs)
         if name in RAW:
