@@ -96,6 +96,27 @@ def test_small_table_agrees_with_large_one(spark, sf):
         assert few[d].base_score == pytest.approx(r.base_score) and few[d].n_known == r.n_known
 
 
+@pytest.mark.parametrize("count, length", [(3, 5_000), (40, 6)])
+def test_states_differ_in_a_corpus_of_long_or_short_texts_only(spark, count, length):
+    rng = np.random.default_rng(4)
+    texts = [(rng.integers(0, 20, length) + 20 * (np.arange(length) * 4 // length + i) % 80).astype(np.int32) for i in range(count)]
+    rows = [(i, True, t.tolist(), len(t)) for i, t in enumerate(texts)]
+    encoded = spark.createDataFrame(rows, "row long, training boolean, symbols array<int>, n long")
+    usual = (np.bincount(np.concatenate(texts), minlength=80) + 1.0) / (count * length + 80)
+    p = hmm.baum_welch(encoded, usual, 4, 3)
+    assert all(np.abs(p.emit[:, a] - p.emit[:, b]).sum() > 0.05 for a, b in itertools.combinations(range(4), 2))
+    pieces = hmm.first_texts(encoded)
+    assert sorted(np.concatenate(pieces)) == sorted(np.concatenate(texts)) and max(map(len, pieces)) <= hmm.FIRST_LONGEST
+    flat, ends = np.concatenate(texts), np.arange(count + 1) * length
+    assert likelihoods(p, flat, ends).sum() > np.log10(usual[flat]).sum() * (0.95 if length > 100 else 1.0)
+
+
+def test_equal_texts_give_states_that_differ():
+    for texts in ([], [np.arange(30)] * 20, [np.zeros(2, int)]):
+        p = hmm.first_parameters(texts, np.full(40, 1 / 40), 8)
+        assert np.allclose(p.emit.sum(axis=0), 1) and len(np.unique(p.emit.round(12), axis=1).T) == 8
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = score_texts(odd_docs, odd_docs["doc_id"] != 3, rounds=1, states=2).collect()
     assert len(got) == odd_docs.count() and all(r.score <= 0 and math.isfinite(r.score) for r in got)

@@ -6,7 +6,10 @@ is a symbol for its ending's class and then one word of that class:
 p(word | class) = (c + 1) / (C + V + 1) with C words, V distinct, in training, so that words
 outside training have the weight of one. An end symbol closes every text.
 
-Baum-Welch trains ``STATES`` latent states. In each round every partition of the
+Baum-Welch trains ``STATES`` latent states. They begin as the groups of at most ``FIRST_TEXTS``
+pieces of training texts of any length (a longer text is cut every ``FIRST_LONGEST`` symbols; pieces under
+``FIRST_SHORTEST`` come only where the others are too few), with a small seeded
+disturbance, since Baum-Welch never parts states that are equal. In each round every partition of the
 training texts runs the scaled forward-backward recursion, in segments of
 ``SEGMENT`` symbols, with the same parameters and gives its expected counts; Spark
 adds them up by symbol, and the new parameters follow from the sums. Only these tables
@@ -38,6 +41,8 @@ STATES = 8
 ROUNDS = 3
 SEGMENT = 512
 FIRST_TEXTS = 512
+FIRST_SHORTEST, FIRST_LONGEST = 20, 2_000
+DISTURBANCE = 0.05
 FOLDS, HELD = 7, 2
 END = b"\n"
 _FLUSH = 400_000
@@ -201,10 +206,15 @@ def _expecter(shared, states: int):
 
 
 def first_parameters(texts: list[np.ndarray], usual: np.ndarray, states: int) -> Parameters:
-    """States from a small sample: texts in groups of like symbols (k-means from far-apart texts)."""
+    """States from a small sample: texts in groups of like symbols (k-means from far-apart texts), no two of them equal.
+
+    Fewer texts than states are put together and cut into as many parts.
+    """
     size = len(usual)
     emit = np.tile(usual[:, None], (1, states))
-    if len(texts) >= states:
+    if texts and len(texts) < states:
+        texts = np.array_split(np.concatenate(texts), states)
+    if texts:
         frequent = np.argsort(-usual)[:4_096]
         at = np.full(size, -1)
         at[frequent] = np.arange(len(frequent))
@@ -227,6 +237,9 @@ def first_parameters(texts: list[np.ndarray], usual: np.ndarray, states: int) ->
             if own:
                 counts[:, k] = np.bincount(np.concatenate(own), minlength=size)
         emit = smoothed(counts, usual)
+    if states > 1:
+        emit = emit * (1 + DISTURBANCE * np.random.default_rng(9).random(emit.shape))
+        emit /= emit.sum(axis=0)
     stay = 0.95
     move = np.full((states, states), (1 - stay) / max(states - 1, 1))
     np.fill_diagonal(move, stay if states > 1 else 1.0)
@@ -234,13 +247,29 @@ def first_parameters(texts: list[np.ndarray], usual: np.ndarray, states: int) ->
     return Parameters(even, move, emit, even)
 
 
+def first_texts(training: DataFrame) -> list[np.ndarray]:
+    """The pieces of ``training`` (row, n, symbols) for the first states, in the order of a hash; long enough ones first."""
+    size = F.least(F.lit(FIRST_LONGEST), F.col("n") - F.col("at"))
+    places = training.select("row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(FIRST_LONGEST).cast("long")))
+                             .alias("at"))
+    chosen = (places.select("row", "at", size.alias("size"))
+              .orderBy(F.col("size") < FIRST_SHORTEST, F.xxhash64("row", "at"), "row", "at").limit(FIRST_TEXTS).collect())
+    if not chosen:
+        return []
+    spark = training.sparkSession
+    wanted = spark.createDataFrame([(r.row, r.at, r["size"]) for r in chosen], "row long, at long, size long")
+    found = (training.where(F.col("row").isin([r.row for r in chosen])).join(F.broadcast(wanted), "row")
+             .select("row", "at", F.slice("symbols", (F.col("at") + 1).cast("int"), F.col("size").cast("int")).alias("symbols"))
+             .toArrow())
+    piece = {(row, at): x for row, at, x in zip(found["row"].to_pylist(), found["at"].to_pylist(), found["symbols"])}
+    return [np.array(piece[r.row, r.at].as_py()) for r in chosen]
+
+
 def baum_welch(encoded: DataFrame, usual: np.ndarray, states: int, rounds: int) -> Parameters:
     """Parameters after ``rounds`` rounds over all training texts of ``encoded``."""
     spark = encoded.sparkSession
     training = encoded.where("training")
-    some = (training.where("n between 20 and 2000").orderBy(F.xxhash64("row"), "row").limit(FIRST_TEXTS)
-            .select("symbols").toArrow().column("symbols"))
-    p = first_parameters([np.array(x.as_py()) for x in some], usual, states)
+    p = first_parameters(first_texts(training), usual, states)
     fields = ", ".join(f"s{k} double" for k in range(states))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(tuple(p))
