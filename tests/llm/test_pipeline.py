@@ -15,7 +15,7 @@ from .test_simhash import brute_print, components
 
 def test_names_and_order():
     names = sorted(Q.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in P.STAGES] == ["toxicity", "near duplicates", "benchmark decontamination", "mixing to target weights", "sharding"]
 
 
