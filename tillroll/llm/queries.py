@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, hmm, html_text, kd_shards, line_dedup, metric_join, mixing, packing, periodic_runs, pseudonyms,
-               simhash, toxicity)
+from . import (conversation_repair, decontaminate, hmm, html_text, kd_shards, line_dedup, metric_join, mixing, packing,
+               periodic_runs, pseudonyms, simhash, toxicity)
 
 MODULES = (html_text, pseudonyms, decontaminate, kd_shards, simhash, mixing, line_dedup, toxicity, hmm, metric_join,
-           packing, periodic_runs)
+           packing, conversation_repair, periodic_runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
