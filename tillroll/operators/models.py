@@ -35,12 +35,11 @@ def logistic_regression(label: str = "label") -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol=label, maxIter=100)
 
 
-def gbt_regressor(label: str = "label", tuned: bool = False) -> GBTRegressor:
-    """ML3: squared-error boosting. Fixed: depth 5, step 0.1, 10 trees,
-    feature fraction 0.3; tuned: depth 3, step 0.2, 100 trees, fraction 0.9."""
-    if tuned:
-        return GBTRegressor(featuresCol="features", labelCol=label, maxDepth=3, stepSize=0.2, maxIter=100,
-                            featureSubsetStrategy="0.9", seed=42)
+def gbt_regressor(label: str = "label") -> GBTRegressor:
+    """ML3, fixed settings: squared-error boosting of depth 5, step 0.1, 10 trees, feature fraction 0.3.
+
+    Searches and the tuned settings are fitted by ``boosting.Batch``.
+    """
     return GBTRegressor(featuresCol="features", labelCol=label, maxDepth=5, stepSize=0.1, maxIter=10,
                         featureSubsetStrategy="0.3", seed=42)
 
@@ -113,9 +112,9 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str = "label") -
 
 # -- search -----------------------------------------------------------------------
 
-def random_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
-    """ML13: ``n_iter`` distinct random points of a parameter grid."""
-    keys = sorted(grid, key=lambda p: p.name)
+def random_points(grid: dict[str, list], n_iter: int, seed: int = 42) -> list[dict]:
+    """ML13: ``n_iter`` distinct random points of a parameter grid (all of them where there are fewer)."""
+    keys = sorted(grid)
     rng = random.Random(seed)
     points, seen = [], set()
     total = int(np.prod([len(grid[k]) for k in keys]))
@@ -128,6 +127,12 @@ def random_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
     return points
 
 
+def random_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
+    """``random_points`` of a grid over an estimator's parameters."""
+    of = {p.name: p for p in grid}
+    return [{of[k]: v for k, v in x.items()} for x in random_points({p.name: v for p, v in grid.items()}, n_iter, seed)]
+
+
 def cross_validate(train: DataFrame, estimator, param_maps: list[dict], keys: list[str], metric: str = "r2",
                    folds: int = 5, classification: bool = False, label: str = "label", parallelism: int = 8):
     """ML13-ML15: k-fold cross-validation over the given parameter maps.

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import features as FE
 from ..operators import models as M
 from ..session import app_key, materialize
@@ -200,24 +203,32 @@ def q_cv_r2(spark, sf_dir):
     return spark.createDataFrame([(5, float(cvm.avgMetrics[0]))], "folds int, mean_r2 double")
 
 
+def _boost_data(df, apart=None):
+    """Rows with a log share, binned for the boosted trees."""
+    return B.binned(df, FE.CAT_COLS, FE.NUM_COLS, "log_share", KEYS, folds=5, apart=apart)
+
+
 @query("ml_gbt_random_search", ids="ML13 ML3")
 def q_gbt_search(spark, sf_dir):
-    df = model_frame(spark, sf_dir).where(F.col("log_share").isNotNull()).withColumnRenamed("log_share", "label")
-    train, test = _split(df)
-    est = M.gbt_regressor()
-    # fixed values: the search space (learning rate, depth, row / column fractions, trees, min child)
-    grid = {est.stepSize: RATES,
-            est.maxDepth: DEPTHS,
-            est.subsamplingRate: ROW_SHARES,
-            est.featureSubsetStrategy: ["0.1", "0.2", "0.3", "0.4", "0.5", "0.6", "0.7", "0.8", "0.9"],
-            est.maxIter: [3, 5, 7, 10],
-            est.minInstancesPerNode: [1, 3, 5, 7]}
-    points = M.random_grid(grid, 20, seed=42)
-    cvm = M.cross_validate(train, est, points, KEYS, metric="r2", folds=5)
-    best = max(range(len(points)), key=lambda i: cvm.avgMetrics[i])
-    rows = [(i, float(cvm.avgMetrics[i]), i == best, str({p.name: v for p, v in points[i].items()}))
-            for i in range(len(points))]
-    return spark.createDataFrame(rows, "candidate int, mean_r2 double, is_best boolean, params string")
+    """20 random candidates x 5 folds, grown together."""
+    train, _ = _split(model_frame(spark, sf_dir))
+    points = M.random_points(BOOST_GRID, 20, seed=42)
+    found = B.search(_boost_data(train), [B.Boost(**p) for p in points], folds=5)
+    best = max(found, key=lambda x: x[1])[0]
+    rows = [(i, float(r2), float(mse), i == best, str(points[i])) for i, r2, mse in found]
+    return spark.createDataFrame(rows, "candidate int, mean_r2 double, mean_mse double, is_best boolean, params string")
+
+
+@query("ml_gbt_tuned_metrics", ids="ML3 ML15 ML17")
+def q_gbt_tuned(spark, sf_dir):
+    """The tuned settings: the fit on the training rows scored on the test rows, and 5-fold cross-validation, in one batch.
+
+    ``fold`` -1 is the fit on all training rows. Test rows are a fold of their own, which every model leaves out.
+    """
+    data = _boost_data(model_frame(spark, sf_dir), apart=~F.col("is_train"))
+    models = [replace(TUNED, fold=f, skip=5) for f in range(5)] + [replace(TUNED, fold=5)]
+    scores = B.Batch(data, models).fit().scores()
+    return scores.select(F.when(F.col("model") == 5, -1).otherwise(F.col("model")).cast("int").alias("fold"), "n", "rmse", "r2")
 
 
 #: fixed values: leaf sizes as a share of the rows (Spark takes less than a half), depths and learning rates
@@ -225,6 +236,10 @@ LEAF_SHARES = [round(0.05 + i * 0.01, 2) for i in range(45)]
 DEPTHS = [3, 4, 5, 6, 7, 8, 10, 12, 15]
 RATES = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3]
 ROW_SHARES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+#: fixed values: the boosted search space, and the settings that the search found
+BOOST_GRID = {"rate": RATES, "depth": DEPTHS, "rows": ROW_SHARES, "columns": ROW_SHARES, "trees": [3, 5, 7, 10],
+              "min_child": [1, 3, 5, 7]}
+TUNED = B.Boost(depth=3, rate=0.2, trees=100, rows=0.3, columns=0.9, level_columns=0.4, min_child=1, l1=0.4, l2=0.1)
 
 
 def _auc_search(spark, sf_dir, est, grid):
