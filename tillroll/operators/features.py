@@ -10,6 +10,8 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .selection import row_hash, with_first
+
 CAT_COLS = ["store_type", "city_type", "region", "brand", "case_size_range", "gender", "movement", "material",
             "dial_color", "strap_type", "strap_color", "precious_stone", "glass", "case_shape", "watch_type"]
 NUM_COLS = ["stock_prevailing_mrp", "case_size", "available_quantity"]
@@ -22,11 +24,10 @@ def with_sales_class(df: DataFrame, qty: str = "sales_quantity", out: str = "sal
 
 def hash_split(df: DataFrame, keys: list[str], train_pct: int = 80, seed: int = 42,
                col: str = "is_train") -> DataFrame:
-    """FE6: repeatable random split: ``pmod(xxhash64(seed, keys), 100) < train_pct``.
+    """FE6: repeatable random split: ``row_hash(seed, keys) mod 100 < train_pct``.
     Row-local (no shuffle, no sort); the same row lands on the same side on
-    every run and every cluster size."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100))
-    return df.withColumn(col, h < train_pct)
+    every run, cluster size and engine."""
+    return df.withColumn(col, row_hash(seed, keys) % 100 < train_pct)
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -35,25 +36,24 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def oversample(df: DataFrame, label: str, keys: list[str], seed: int = 42) -> DataFrame:
-    """FE7: random oversampling of the minority class to the majority size.
+    """FE7: random oversampling of every smaller class to exactly the size of the largest.
 
-    Every minority row is replicated ``floor(n_major / n_minor)`` times (a
-    narrow ``explode``); the remainder ``n_major mod n_minor`` is drawn by a
-    hash threshold, so the minority ends up within sampling noise of the
-    majority size. Only the two class counts reach the driver.
+    Every row of a class is replicated ``n_major div n`` times (a narrow ``explode``); the remaining
+    ``n_major mod n`` copies are of as many rows, the first in a random order (``selection.with_first``: histograms of a
+    hash, no sort). Only class counts and histograms reach the driver.
     """
     counts = {r[label]: r["rows"] for r in class_counts(df, label).collect()}
     if len(counts) < 2:
         return df
-    major = max(counts, key=lambda c: (counts[c], str(c)))
-    minor = min(counts, key=lambda c: (counts[c], str(c)))
-    n_maj, n_min = counts[major], counts[minor]
-    reps, rem = divmod(n_maj, n_min)
-    mino = df.where(F.col(label) == minor)
-    extra = F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(k) for k in keys]), F.lit(n_min)) < rem
-    copies = F.when(extra, reps + 1).otherwise(reps)
-    grown = mino.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
-    return df.where(F.col(label) != minor).unionByName(grown)
+    most = max(counts.values())
+    out = df.where(F.col(label).isin([c for c in counts if counts[c] == most]))
+    for c in sorted((c for c in counts if counts[c] < most), key=str):
+        reps, rest = divmod(most, counts[c])
+        own = df.where(F.col(label) == c).withColumn("_h", row_hash(seed + 1, keys))
+        own = with_first(own, "_h", rest, keys, "_more")
+        copies = F.when(F.col("_more"), reps + 1).otherwise(reps)
+        out = out.unionByName(own.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy", "_more", "_h"))
+    return out
 
 
 def one_hot_pipeline(cat_cols: list[str] | None = None, num_cols: list[str] | None = None,
@@ -116,18 +116,30 @@ def latest_features(df: DataFrame, keys: list[str], cols: list[str], order_col:
     return df.join(last, [*keys, order_col]).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def ordered_period_split(df: DataFrame, train_frac: float = 0.8, order_col: str = "period",
-                         col: str = "is_train") -> DataFrame:
-    """SO3: ordered split — the earliest periods up to ``train_frac`` of the
-    rows train, later periods test. Row counts per period are one small
-    aggregate; the cut is the first period whose cumulative share reaches the
-    fraction (a period is never split). No global sort of the rows."""
-    per = df.groupBy(order_col).agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per.withColumn("_cum", F.sum("_n").over(w)).withColumn("_tot", F.sum("_n").over(Window.partitionBy()))
-    cut = cum.where(F.col("_cum") >= F.col("_tot") * F.lit(train_frac)).agg(F.min(order_col).alias("c")).head()["c"]
-    return df.withColumn(col, F.col(order_col) <= F.lit(cut))
+def ordered_split(df: DataFrame, keys: list[str], test_share: float = 0.2, order_col: str = "period",
+                  col: str = "is_train", seed: int = 42) -> DataFrame:
+    """SO3: ordered split of rows: of n rows by ``order_col`` the last ``int(n * test_share)`` are test rows, the others train.
+
+    Rows of the period in which the cut falls come in the order of their row hash. Counts per period are one
+    small aggregate, the place within the period is found by histograms: no global sort of the rows, and
+    exact sizes whatever the periods hold. Rows without a period come first.
+    """
+    per = sorted(((r[order_col], r["n"]) for r in df.groupBy(order_col).agg(F.count("*").alias("n")).collect()),
+                 key=lambda x: (x[0] is not None, x[0]))
+    n = sum(c for _, c in per)
+    left = n - int(n * test_share)
+    whole = []
+    for period, c in per:
+        if c > left:
+            break
+        whole.append(period)
+        left -= c
+    else:
+        return df.withColumn(col, F.lit(True))
+    at = F.col(order_col).eqNullSafe(F.lit(period))
+    before = F.col(order_col).isin([p for p in whole if p is not None]) | (F.col(order_col).isNull() & F.lit(None in whole))
+    cut = with_first(df.where(at).withColumn("_h", row_hash(seed, keys)), "_h", left, keys, col).drop("_h")
+    return df.where(~at).withColumn(col, F.coalesce(before, F.lit(False))).unionByName(cut)
 
 
 def drop_incomplete_last_period(df: DataFrame, periods: DataFrame, n_weeks: int) -> DataFrame:

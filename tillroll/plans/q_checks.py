@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.fiscal import fiscal_parts, week_label
 from ..operators import facts
 from ..operators import features as FE
+from ..operators.selection import row_hash, row_hash_sql
 from ..operators import periodic as P
 from ..operators import quality as Q
 from ..operators.weekly import WeeklySummary
@@ -116,15 +117,19 @@ def q_calendar(spark, sf_dir):
                     F.month("sales_date").alias("month"), F.year("sales_date").alias("year"))
 
 
-@query("ordered_split_counts", ids="SO3 SE2", sql=lambda: SD.pareto_ctes(*ARGS) + """,
-pcount AS (SELECT period, count(*) AS n FROM target_b GROUP BY period),
-cum AS (SELECT period, sum(n) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
-               sum(n) OVER () AS t FROM pcount),
-cut AS (SELECT min(period) AS p FROM cum WHERE c >= t * 0.8)
-SELECT period <= (SELECT p FROM cut) AS is_train, count(*) AS rows FROM target_b GROUP BY 1""")
+_SPLIT_KEYS = ["store_type", "item_no", "period", "state"]
+
+
+@query("ordered_split_counts", ids="SO3 SE2", sql=lambda: SD.pareto_ctes(*ARGS) + f""",
+hashed AS (SELECT *, {row_hash_sql(42, _SPLIT_KEYS)} AS h FROM target_b),
+placed AS (SELECT *, row_number() OVER (ORDER BY period NULLS FIRST, h) AS place, count(*) OVER () AS n FROM hashed)
+SELECT place <= n - cast(floor(n * 0.2) as bigint) AS is_train, period, count(*) AS rows, cast(sum(h % 1000003) as bigint) AS key_sum
+FROM placed GROUP BY 1, 2""")
 def q_ordered(spark, sf_dir):
-    df = FE.ordered_period_split(DemandChain(spark, sf_dir).target("B"), 0.8)
-    return df.groupBy("is_train").agg(F.count("*").alias("rows"))
+    """Rows of either side by period, and a sum over their keys that tells them from others."""
+    df = FE.ordered_split(DemandChain(spark, sf_dir).target("B"), _SPLIT_KEYS, 0.2)
+    return df.withColumn("h", row_hash(42, _SPLIT_KEYS) % 1000003).groupBy("is_train", "period").agg(
+        F.count("*").alias("rows"), F.sum("h").alias("key_sum"))
 
 
 @query("complete_period_demand", ids="PF22 J18", sql=lambda: SD.pareto_ctes(*ARGS) + f""",

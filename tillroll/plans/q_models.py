@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import boosting as B
 from ..operators import features as FE
 from ..operators import models as M
+from ..operators.selection import row_hash, row_hash_sql
 from ..session import app_key, materialize
 from .catalog import query
 from .q_demand import DemandChain
@@ -78,10 +79,37 @@ def q_class_counts(spark, sf_dir):
     return FE.class_counts(model_frame(spark, sf_dir), "sales_class")
 
 
-@query("oversampled_class_counts", ids="FE7 FE8")
+def _split_ctes():
+    """The labelled model rows with their side of the split."""
+    from . import sql_demand as SD
+    from .q_demand import ARGS
+    return SD.pareto_ctes(*ARGS) + f""",
+labelled AS (SELECT *, CASE WHEN sales_quantity > 0 THEN 1 ELSE 0 END AS sales_class,
+                    {row_hash_sql(42, KEYS)} % 100 < 80 AS is_train FROM target_b)"""
+
+
+@query("split_class_counts", ids="FE6 FE8", sql=lambda: _split_ctes() + """
+SELECT is_train, sales_class, count(*) AS rows FROM labelled GROUP BY 1, 2""")
+def q_split_counts(spark, sf_dir):
+    return model_frame(spark, sf_dir).groupBy("is_train", "sales_class").agg(F.count("*").alias("rows"))
+
+
+def _oversampled_sql():
+    """Every class as often as the largest; the rows of the remainder are the first by hash."""
+    return _split_ctes() + f""",
+tr AS (SELECT *, {row_hash_sql(43, KEYS)} AS h FROM labelled WHERE is_train),
+class_sizes AS (SELECT sales_class, count(*) AS n, max(count(*)) OVER () AS most FROM tr GROUP BY 1),
+ranked AS (SELECT t.*, n, most, row_number() OVER (PARTITION BY sales_class ORDER BY h) AS place FROM tr t JOIN class_sizes USING (sales_class))
+SELECT sales_class, cast(sum(most // n + CASE WHEN place <= most % n THEN 1 ELSE 0 END) as bigint) AS rows,
+       cast(sum((most // n + CASE WHEN place <= most % n THEN 1 ELSE 0 END) * (h % 1000003)) as bigint) AS key_sum
+FROM ranked GROUP BY 1"""
+
+
+@query("oversampled_class_counts", ids="FE7 FE8", sql=_oversampled_sql)
 def q_oversampled(spark, sf_dir):
     train, _ = _split(model_frame(spark, sf_dir))
-    return FE.class_counts(FE.oversample(train, "sales_class", KEYS), "sales_class")
+    grown = FE.oversample(train, "sales_class", KEYS).withColumn("h", row_hash(43, KEYS) % 1000003)
+    return grown.groupBy("sales_class").agg(F.count("*").alias("rows"), F.sum("h").alias("key_sum"))
 
 
 @query("level_alignment", ids="FE5 FE9 FE10", sql=_alignment_sql)
@@ -150,7 +178,39 @@ def q_gbtc(spark, sf_dir):
     return M.classification_rates(_clf_predictions(spark, sf_dir, M.gbt_classifier()))
 
 
-@query("ml_majority_baseline_rates", ids="ML12 ML20")
+def _rates_sql(rows: str) -> str:
+    """ML18, ML20, U5 of the rows (label, prediction) that ``rows`` selects."""
+    return f"""
+SELECT *, cast(tn as double) / nullif(cast(tn + fp as double), 0) * 100 AS tn_pct, cast(fp as double) / nullif(cast(tn + fp as double), 0) * 100 AS fp_pct,
+       cast(fn as double) / nullif(cast(fn + tp as double), 0) * 100 AS fn_pct, cast(tp as double) / nullif(cast(fn + tp as double), 0) * 100 AS tp_pct,
+       cast(tn + tp as double) / nullif(cast(tn + fp + fn + tp as double), 0) AS accuracy,
+       (cast(tp as double) / nullif(cast(fn + tp as double), 0) + cast(tn as double) / nullif(cast(tn + fp as double), 0)) / 2 AS auc_hard
+FROM (SELECT count(*) FILTER (label = 0 AND prediction = 0) AS tn, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
+             count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 1 AND prediction = 1) AS tp FROM ({rows}))"""
+
+
+def _majority_sql():
+    return _split_ctes() + _rates_sql("""
+  SELECT sales_class AS label, (SELECT sales_class FROM labelled WHERE is_train GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS prediction
+  FROM labelled WHERE NOT is_train""")
+
+
+def _last_period_sql():
+    return _split_ctes() + _rates_sql("""
+  SELECT t.sales_class AS label, coalesce(s.sold, 0) AS prediction FROM labelled t LEFT JOIN (
+    SELECT item_no, max(sales_class) AS sold FROM labelled WHERE is_train GROUP BY 1) s ON t.item_no = s.item_no WHERE NOT t.is_train""")
+
+
+@query("sold_before_rates", ids="ML18 ML20 U5", sql=_last_period_sql)
+def q_sold_before(spark, sf_dir):
+    """The rates of a rule that both engines compute: an item sells if it sold anywhere in the training rows."""
+    train, test = _split(model_frame(spark, sf_dir))
+    sold = train.groupBy("item_no").agg(F.max("sales_class").alias("sold"))
+    return M.classification_rates(test.join(sold, "item_no", "left").select(
+        F.col("sales_class").alias("label"), F.coalesce("sold", F.lit(0)).alias("prediction")))
+
+
+@query("ml_majority_baseline_rates", ids="ML12 ML20", sql=_majority_sql)
 def q_major(spark, sf_dir):
     df = model_frame(spark, sf_dir).withColumn("label", F.col("sales_class"))
     train, test = _split(df)
