@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from .selection import row_hash, with_first
 
-CAT_COLS = ["store_type", "city_type", "region", "brand", "case_size_range", "gender", "movement", "material",
+#: fixed values: the attributes that are one-hot encoded, the numbers beside them, and those that make a SKU
+CAT_COLS = ["store_type", "store_location", "city_type", "state", "region", "brand", "case_size_range", "gender", "movement", "material",
             "dial_color", "strap_type", "strap_color", "precious_stone", "glass", "case_shape", "watch_type"]
 NUM_COLS = ["stock_prevailing_mrp", "case_size", "available_quantity"]
+SKU_COLS = ["item_no", "brand", "case_size_range", "gender", "movement", "material", "dial_color", "strap_type",
+            "strap_color", "precious_stone", "glass", "case_shape", "watch_type"]
 
 
 def with_sales_class(df: DataFrame, qty: str = "sales_quantity", out: str = "sales_class") -> DataFrame:
@@ -93,9 +96,9 @@ def level_alignment(train: DataFrame, score: DataFrame, cols: list[str]) -> Data
     return only_a.unionByName(only_b)
 
 
-def unique_sku_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+def unique_sku_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """FE9: distinct SKU attribute rows."""
-    return df.select(*cols).dropDuplicates()
+    return df.select(*(cols or SKU_COLS)).distinct()
 
 
 def scoring_frame(candidates: DataFrame, store_master: DataFrame, item_master: DataFrame,

@@ -39,7 +39,8 @@ def with_periods(summary: DataFrame, n_weeks: int, stores_to_remove: DataFrame |
 
 
 def _rollup_aggs(group: list[str]) -> list:
-    opening = F.min_by("quantity", F.struct("year", "week_no"))
+    # where stores share a group: the first store (by code) of the first week, whatever the order of the rows
+    opening = F.min_by("quantity", F.struct("year", "week_no", "location_code"))
     m = {c: mean(c) for c in AVG_COLS}
     disc = m["line_discount"] + m["crm_line_discount"]
     contribution = m["stock_prevailing_mrp"] - (m["line_discount"] + m["crm_line_discount"]
@@ -88,7 +89,8 @@ def rollup_by_store(periodic: DataFrame) -> DataFrame:
 
 
 def rollup_by_store_type(periodic: DataFrame) -> DataFrame:
-    """AG8 + AG9: one row per (period, item, state, store type)."""
+    """AG8 + AG9: one row per (period, item, state, store type). Opening stock is that of the group's first store
+    (by code) in its first week; flows are summed over the stores, money averaged."""
     keys = ["period", "item_no", "state", "store_type"]
     return periodic.groupBy(*keys).agg(*_rollup_aggs(keys))
 

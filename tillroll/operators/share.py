@@ -48,14 +48,14 @@ def market_sizes(df: DataFrame, market_share: DataFrame, unit: str = "store_type
 def log_share(df: DataFrame, sizes: DataFrame, variant: str = "B", zero: float = 1e-5) -> DataFrame:
     """FE2 / FE3: ``so = per_store_market - s``; rows with ``so`` NULL or 0 are
     dropped; variant B: ``r = s / so`` with 0 → ``zero``; variant A:
-    ``r = (s == 0 ? zero : s) / so``. The target is ``ln r`` (NULL when r < 0)."""
+    ``r = (s == 0 ? zero : s) / so``. The target is ``ln r``; rows without a finite one (PF20) are dropped."""
     j = df.join(sizes.select("state", "period", "per_store_market"), ["state", "period"], "inner")
     so = F.col("per_store_market") - F.col("sales_quantity")
     j = j.withColumn("so", so).where(F.col("so").isNotNull() & (F.col("so") != 0))
     if variant == "B":
-        r = F.col("sales_quantity") / F.col("so")
+        r = F.try_divide("sales_quantity", "so")
         r = F.when(r == 0, F.lit(zero)).otherwise(r)
     else:
         s = F.when(F.col("sales_quantity") == 0, F.lit(zero)).otherwise(F.col("sales_quantity"))
-        r = s / F.col("so")
-    return j.withColumn("log_share", F.when(r > 0, F.ln(r))).drop("so")
+        r = F.try_divide(s, F.col("so"))
+    return j.where((r > 0) & (r < float("inf"))).withColumn("log_share", F.ln(r)).drop("so")

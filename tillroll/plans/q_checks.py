@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.fiscal import fiscal_parts, week_label
 from ..operators import facts
 from ..operators import features as FE
-from ..operators.selection import row_hash, row_hash_sql
 from ..operators import periodic as P
 from ..operators import quality as Q
+from ..operators.selection import row_hash, row_hash_sql
 from ..operators.weekly import WeeklySummary
 from ..sources import files as IO
 from ..sources.testdata import RetailTables, oracle_ctes
@@ -21,9 +21,6 @@ from .q_demand import ARGS, PERIOD_WEEKS, DemandChain
 
 IMPUTE = ["strap_color", "case_size_range", "glass", "dial_color", "strap_type", "case_shape", "material",
           "case_size", "movement"]
-ATTRS = ["case_size_range", "gender", "movement", "material", "dial_color", "strap_type", "strap_color",
-         "precious_stone", "glass", "case_shape", "watch_type"]
-
 
 @query("item_master_cleaned", ids="PF8 PF7 PF21 DQ3", sql=lambda: oracle_ctes("sku") + """
 SELECT item_no, case_size, nullif(case_size_range, '') AS case_size_range,
@@ -40,7 +37,7 @@ def q_item_clean(spark, sf_dir):
 
 @query("one_hot_levels", ids="FE4", sql=lambda: SD.pareto_ctes(*ARGS) + ",\nlv AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, coalesce(nullif(cast({c} as varchar), ''), 'nan') AS level FROM target_b"
-    for c in ATTRS) + """)
+    for c in FE.CAT_COLS) + """)
 SELECT feature, level, cast(dense_rank() OVER (PARTITION BY feature ORDER BY level) - 1 as double) AS level_index,
        count(*) OVER (PARTITION BY feature, level) AS rows
 FROM (SELECT DISTINCT * FROM lv) d JOIN (SELECT feature AS f2, level AS l2 FROM lv) a
@@ -48,17 +45,23 @@ FROM (SELECT DISTINCT * FROM lv) d JOIN (SELECT feature AS f2, level AS l2 FROM
     "count(*) OVER (PARTITION BY feature, level) AS rows", "count(*) AS rows"))
 def q_one_hot(spark, sf_dir):
     """Fitted StringIndexer (alphabetical) index and row count per level."""
-    df = FE.prepare(DemandChain(spark, sf_dir).target("B"), ATTRS, [])
-    model = FE.one_hot_pipeline(ATTRS, []).fit(df)
+    df = FE.prepare(DemandChain(spark, sf_dir).target("B"), FE.CAT_COLS, [])
+    model = FE.one_hot_pipeline(FE.CAT_COLS, []).fit(df)
     idx = model.stages[0].transform(df)
     parts = [idx.select(F.lit(c).alias("feature"), F.col(c).alias("level"), F.col(f"{c}__idx").alias("level_index"))
-             for c in ATTRS]
+             for c in FE.CAT_COLS]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     return u.groupBy("feature", "level", "level_index").agg(F.count("*").alias("rows"))
 
 
+@query("unique_skus", ids="FE9", sql=lambda: SD.pareto_ctes(*ARGS) + f"""
+SELECT DISTINCT {', '.join(FE.SKU_COLS)} FROM rk""")
+def q_unique_skus(spark, sf_dir):
+    return FE.unique_sku_rows(DemandChain(spark, sf_dir).kept)
+
+
 @query("null_impact_report_file", ids="AG25 IO9 IO7", sql=SQ.null_impact_sql)
 def q_report_file(spark, sf_dir):
     """The null-impact report written as one CSV file and read back."""

@@ -54,11 +54,12 @@ sizes AS (SELECT ms.state, ms.period, ms.sales_quantity, m.market_share,
 joined AS (SELECT d.*, s.per_store_market, s.per_store_market - d.sales_quantity AS so
            FROM demand d JOIN sizes s ON d.state = s.state AND d.period = s.period
            WHERE s.per_store_market - d.sales_quantity IS NOT NULL AND s.per_store_market - d.sales_quantity <> 0),
-target_b AS (SELECT * EXCLUDE (so), CASE WHEN r > 0 THEN ln(r) END AS log_share FROM
+target_b AS (SELECT * EXCLUDE (so), ln(r) AS log_share FROM
              (SELECT *, CASE WHEN sales_quantity / so = 0 THEN 1e-5 ELSE sales_quantity / so END AS r FROM joined)
-             ) ,
-target_a AS (SELECT * EXCLUDE (so), CASE WHEN r > 0 THEN ln(r) END AS log_share FROM
-             (SELECT *, (CASE WHEN sales_quantity = 0 THEN 1e-5 ELSE sales_quantity END) / so AS r FROM joined))"""
+             WHERE r > 0 AND isfinite(r)),
+target_a AS (SELECT * EXCLUDE (so), ln(r) AS log_share FROM
+             (SELECT *, (CASE WHEN sales_quantity = 0 THEN 1e-5 ELSE sales_quantity END) / so AS r FROM joined)
+             WHERE r > 0 AND isfinite(r))"""
 
 
 def feature_ctes(n_weeks, share, min_levels, f_share, f_min) -> str:

@@ -40,7 +40,7 @@ def rollup_sql(n_weeks: int, keys: list[str], grain: str = "item") -> str:
 
 def rollup_cte(n_weeks: int, keys: list[str], grain: str = "item") -> str:
     m = {c: mean(c) for c in AVG}
-    opening = "arg_min(quantity, struct_pack(y := year, w := week_no))"
+    opening = "arg_min(quantity, struct_pack(y := year, w := week_no, l := location_code))"
     disc = f"({m['line_discount']} + {m['crm_line_discount']})"
     contr = (f"({m['stock_prevailing_mrp']} - ({m['line_discount']} + {m['crm_line_discount']}"
              f" + {m['tax']} + {m['cost']}))")
