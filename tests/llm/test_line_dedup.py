@@ -45,3 +45,19 @@ def test_odd_rows(odd_docs, no_docs):
     texts = {r.doc_id: r.text for r in out if r.doc_id is not None}
     assert texts[0] is None and texts[6] == "" and texts[5].startswith("The same")
     assert repeats(no_docs).count() == 0 and deduplicated(no_docs).count() == 0
+
+
+def test_rows_of_one_id_keep_their_own_text(spark):
+    """Cuts belong to a row: another text of the same id, or of a null id, stays whole."""
+    shared = "This line of ten words stands in several of the texts."
+    alone = ["A wholly unique text that nobody repeats stands here, nowhere else at all.",
+             "Patient notes that stand here only once and that must not be touched.",
+             "Another closing remark of more than eight words which only this text has."]
+    rows = [(1, shared), (2, shared), (2, alone[0]), (None, shared), (None, alone[1]), (None, shared + "\n" + alone[2])] + [(None, shared)] * 30
+    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    texts = [(r.doc_id, r.text) for r in got]
+    assert (1, shared) in texts and (2, "") in texts and (2, alone[0]) in texts and (None, alone[1]) in texts
+    assert (None, "\n" + alone[2]) in texts and sum(shared in t for _, t in texts) == 1
+    for r in got:
+        assert sum(s.length for s in r.kept_spans) == len(r.text)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, table
+from .common import checkpointed, free_name, numbered, table
 
 MIN_WORDS = 8
 NO_ID = 2 ** 63 - 1
@@ -121,10 +121,19 @@ def kept_spans(text: str | None, removed) -> tuple[str | None, list[tuple[int, i
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated units cut out of ``text``, and ``kept_spans``: where the rest lay in the original."""
-    key, cut, spans = (free_name(docs, x) for x in ("dedup_id", "dedup_cut", "kept_spans"))
-    gone = (repeats(docs, doc_id, text, min_words).groupBy(F.col("doc_id").alias(key))
-            .agg(F.collect_list(F.struct("start", "length")).alias(cut)))
+    """``docs`` with the repeated units cut out of ``text``, and ``kept_spans``: where the rest lay in the original.
+
+    Rows are told apart by a number of their own, in the order of their ids (null last), so that rows of one id, or
+    without one, lose only their own repeats: a later copy of a row loses its units, the first row keeps them.
+    """
+    spans = free_name(docs, "kept_spans")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in (doc_id, text))
+    rows = checkpointed(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rank = numbered(rows.select(own_id, "row"), [F.col(own_id).asc_nulls_last(), F.col("row").asc()], "rank").select("row", "rank")
+    ranked = checkpointed(rows.join(rank, "row"), "ranked-rows")
+    gone = (repeats(ranked, "rank", own_text, min_words).groupBy(F.col("doc_id").alias("rank"))
+            .agg(F.collect_list(F.struct("start", "length")).alias("cut")))
 
     @F.pandas_udf("struct<text string, spans array<struct<start: long, length: long>>>")
     def remove(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
@@ -132,9 +141,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
         return pd.DataFrame({"text": [t for t, _ in pairs],
                              "spans": [[{"start": a, "length": n} for a, n in s] for _, s in pairs]})
 
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone[key]), "left").withColumn(cut, remove(text, cut))
-    return joined.select(*[F.col(f"{cut}.text").alias(c) if c == text else docs[c] for c in docs.columns],
-                         F.col(f"{cut}.spans").alias(spans))
+    cut = ranked.join(gone, "rank", "left").withColumn("cut", remove(own_text, "cut"))
+    return cut.select(*[F.col("cut.text") if c == own_text else F.col(c) for c in names], "cut.spans").toDF(*docs.columns, spans)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
