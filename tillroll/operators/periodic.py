@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import first_value, mean, total
+from .codes import MOST, Codes
 from .weekly import ITEM_ATTRS
 
 AVG_COLS = ["purchase_cost_amount", "purchase_mrp", "stock_prevailing_mrp", "transfer_cost_amount",
@@ -40,7 +41,7 @@ def with_periods(summary: DataFrame, n_weeks: int, stores_to_remove: DataFrame |
 
 def _rollup_aggs(group: list[str]) -> list:
     # where stores share a group: the first store (by code) of the first week, whatever the order of the rows
-    opening = F.min_by("quantity", F.struct("year", "week_no", "location_code"))
+    opening = F.min_by("quantity", "_place")
     m = {c: mean(c) for c in AVG_COLS}
     disc = m["line_discount"] + m["crm_line_discount"]
     contribution = m["stock_prevailing_mrp"] - (m["line_discount"] + m["crm_line_discount"]
@@ -81,18 +82,30 @@ def _rollup_aggs(group: list[str]) -> list:
     ]
 
 
+def _rolled_up(periodic: DataFrame, keys: list[str]) -> DataFrame:
+    """Group with the carried text as codes; ``_place`` orders rows by year, week, store (as numbers where they are codes)."""
+    order = ["year", "week_no", "location_code"]
+    text = [c for c, kind in periodic.dtypes if kind == "string" and c not in ("week", "closing_date")]
+    codes = Codes.of([periodic], text)
+    coded = {c: F.array_position(F.lit(codes.levels[c] or [""]), F.col(c)).cast("long") for c in order if c in codes.levels}
+    if len(coded) == len(order):
+        place = (coded["year"] * (MOST + 1) + coded["week_no"]) * (MOST + 1) + F.coalesce(coded["location_code"], F.lit(0))
+    else:
+        place = F.struct(*order)
+    own = Codes({c: x for c, x in codes.levels.items() if c not in keys})
+    return own.decode(own.encode(periodic.withColumn("_place", place)).groupBy(*keys).agg(*_rollup_aggs(keys)))
+
+
 def rollup_by_store(periodic: DataFrame) -> DataFrame:
     """AG7 + AG9: one row per (period, item, store). Opening stock is the
     quantity of the period's first week; flows are summed, money averaged."""
-    keys = ["period", "item_no", "location_code"]
-    return periodic.groupBy(*keys).agg(*_rollup_aggs(keys))
+    return _rolled_up(periodic, ["period", "item_no", "location_code"])
 
 
 def rollup_by_store_type(periodic: DataFrame) -> DataFrame:
     """AG8 + AG9: one row per (period, item, state, store type). Opening stock is that of the group's first store
     (by code) in its first week; flows are summed over the stores, money averaged."""
-    keys = ["period", "item_no", "state", "store_type"]
-    return periodic.groupBy(*keys).agg(*_rollup_aggs(keys))
+    return _rolled_up(periodic, ["period", "item_no", "state", "store_type"])
 
 
 def stores_per_period(periodic: DataFrame) -> DataFrame:

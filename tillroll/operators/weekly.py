@@ -79,12 +79,12 @@ def _sides(stock: DataFrame, purchase_w: DataFrame, transfer_w: DataFrame, sales
     t = transfer_w.select(F.col("store_in").alias("location_code"), "item_no", "week",
                           F.col("brand").alias("_brand_t"),
                           F.col("quantity").alias("transfer_quantity"),
-                          F.col("mrp").alias("_spm_t"), "store_in", "product_group_code",
+                          F.col("mrp").alias("_spm_t"), F.lit(1).alias("_moved"), "product_group_code",
                           F.col("cost_amount").alias("transfer_cost_amount"), F.lit(3).alias("_side"))
     x = sales_w.select(*KEYS, F.col("quantity").alias("sales_quantity"),
                        F.col("price").alias("_spm_x"), "sales_department", "num_of_customers",
                        "num_distinct_customers", *SALES_OUT, F.lit(4).alias("_side"),
-                       (F.col("brand") if brand_from_sales else F.lit(None).cast("string")).alias("_brand_x"))
+                       (F.col("brand") if brand_from_sales else F.lit(None).cast(sales_w.schema["brand"].dataType)).alias("_brand_x"))
     return s, p, t, x
 
 
@@ -116,7 +116,8 @@ def weekly_cells(stock: DataFrame, purchase_w: DataFrame, transfer_w: DataFrame,
         "quantity", "purchase_quantity", "transfer_quantity", "sales_quantity",
         "purchase_cost_amount", "purchase_mrp", "purchase_date",
         F.coalesce("_spm_s", "_spm_p", "_spm_t", "_spm_x").alias("stock_prevailing_mrp"),
-        "store_in", "product_group_code", "transfer_cost_amount", "sales_department",
+        F.when(F.col("_moved") == 1, F.col("location_code")).alias("store_in"),
+        "product_group_code", "transfer_cost_amount", "sales_department",
         F.datediff("closing_date", "purchase_date").alias("days_to_sell"),
         "num_of_customers", "num_distinct_customers", *SALES_OUT)
 
@@ -165,18 +166,20 @@ class WeeklySummary:
 
     def __init__(self, t, min_qty: int | None = 0, max_qty: int | None = 2,
                  brand_from_sales: bool = True):
+        from .codes import CodedFacts
         from .facts import closing_stock, purchase_daily, sales_daily, transfers
         self.t = t
-        self.stock = closing_stock(t.closing_stock_raw)
-        self.purchase_w = purchase_weekly(purchase_daily(t.purchase_raw))
-        self.transfer_w = transfer_weekly(transfers(t.transfer_raw))
-        self.sales_w = sales_weekly(sales_daily(t.sales_raw, min_qty, max_qty))
+        raw = CodedFacts(t)  # text attributes are codes until the cells are made
+        self.codes = raw.codes
+        self.stock = closing_stock(raw.closing_stock_raw)
+        self.purchase_w = purchase_weekly(purchase_daily(raw.purchase_raw))
+        self.transfer_w = transfer_weekly(transfers(raw.transfer_raw))
+        self.sales_w = sales_weekly(sales_daily(raw.sales_raw, min_qty, max_qty))
         self.brand_from_sales = brand_from_sales
         self.min_qty, self.max_qty = min_qty, max_qty
 
     def cells(self) -> DataFrame:
-        return weekly_cells(self.stock, self.purchase_w, self.transfer_w, self.sales_w,
-                            self.brand_from_sales)
+        return self.codes.decode(weekly_cells(self.stock, self.purchase_w, self.transfer_w, self.sales_w, self.brand_from_sales))
 
     def summary(self, materialized: bool = False) -> DataFrame:
         """The weekly summary table.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import facts
 from ..operators import interval as I
+from ..operators.codes import CodedFacts
 from ..sources.testdata import RetailTables
 from . import sql_interval as S
 from . import sql_weekly as W
@@ -14,10 +15,11 @@ WINDOW_WEEKS = 6
 
 def _inputs(spark, sf_dir, n):
     t = RetailTables(spark, sf_dir)
-    stock = facts.closing_stock(t.closing_stock_raw)
+    raw = CodedFacts(t)
+    stock = facts.closing_stock(raw.closing_stock_raw)
     kept = I.kept_closing_dates(stock, n)
-    return (t, stock, facts.purchase_daily(t.purchase_raw), facts.transfers(t.transfer_raw),
-            facts.sales_daily(t.sales_raw, 0, None), kept)
+    return (t, raw.codes, stock, facts.purchase_daily(raw.purchase_raw), facts.transfers(raw.transfer_raw),
+            facts.sales_daily(raw.sales_raw, 0, None), kept)
 
 
 @query("kept_closing_dates", ids="W1",
@@ -33,6 +35,6 @@ def q_kept(spark, sf_dir):
 @query("interval_summary", ids="J4 J5 J6 PF3 AG11 J18",
        sql=lambda: S.interval_ctes(WINDOW_WEEKS) + "\nSELECT * FROM interval_summary")
 def q_interval(spark, sf_dir):
-    t, stock, p, tr, s, kept = _inputs(spark, sf_dir, WINDOW_WEEKS)
-    cells = I.interval_cells(stock, p, tr, s, kept, WINDOW_WEEKS)
+    t, codes, stock, p, tr, s, kept = _inputs(spark, sf_dir, WINDOW_WEEKS)
+    cells = codes.decode(I.interval_cells(stock, p, tr, s, kept, WINDOW_WEEKS))
     return I.interval_summary(cells, kept, t.store_master, t.item_master, t.area_codes)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts
 from ..operators import weekly as wk
+from ..operators.codes import rolled
 from ..sources.testdata import RetailTables
 from . import sql_weekly as S
 from .catalog import query
@@ -19,25 +20,25 @@ def _tables(spark, sf_dir, grain="item"):
        sql=lambda: S.fact_ctes() + "\nSELECT * FROM sales_weekly")
 def q_sales_weekly(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return wk.sales_weekly(facts.sales_daily(t.sales_raw))
+    return rolled(t.sales_raw, lambda raw: wk.sales_weekly(facts.sales_daily(raw)))
 
 
 @query("closing_stock_weekly", ids="AG1 SC2",
        sql=lambda: S.fact_ctes() + "\nSELECT * FROM closing_stock")
 def q_closing_stock(spark, sf_dir):
-    return facts.closing_stock(_tables(spark, sf_dir).closing_stock_raw)
+    return rolled(_tables(spark, sf_dir).closing_stock_raw, facts.closing_stock)
 
 
 @query("purchase_weekly", ids="AG3 AG4",
        sql=lambda: S.fact_ctes() + "\nSELECT * FROM purchase_weekly")
 def q_purchase_weekly(spark, sf_dir):
-    return wk.purchase_weekly(facts.purchase_daily(_tables(spark, sf_dir).purchase_raw))
+    return rolled(_tables(spark, sf_dir).purchase_raw, lambda raw: wk.purchase_weekly(facts.purchase_daily(raw)))
 
 
 @query("transfer_weekly", ids="AG5",
        sql=lambda: S.fact_ctes() + "\nSELECT * FROM transfer_weekly")
 def q_transfer_weekly(spark, sf_dir):
-    return wk.transfer_weekly(facts.transfers(_tables(spark, sf_dir).transfer_raw))
+    return rolled(_tables(spark, sf_dir).transfer_raw, lambda raw: wk.transfer_weekly(facts.transfers(raw)))
 
 
 @query("weekly_cells", ids="J1 J2 J3 PF4 AG11",
