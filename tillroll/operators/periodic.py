@@ -82,11 +82,14 @@ def _rollup_aggs(group: list[str]) -> list:
     ]
 
 
-def _rolled_up(periodic: DataFrame, keys: list[str]) -> DataFrame:
-    """Group with the carried text as codes; ``_place`` orders rows by year, week, store (as numbers where they are codes)."""
+def _rolled_up(periodic: DataFrame, keys: list[str], written: DataFrame | None) -> DataFrame:
+    """Group with the carried text as codes; ``_place`` orders rows by year, week, store (as numbers where they are codes).
+
+    The levels are read from ``written``, the table that ``periodic`` was derived from, or else from ``periodic`` itself.
+    """
     order = ["year", "week_no", "location_code"]
     text = [c for c, kind in periodic.dtypes if kind == "string" and c not in ("week", "closing_date")]
-    codes = Codes.of([periodic], text)
+    codes = Codes.of([periodic if written is None else written], text)
     coded = {c: F.array_position(F.lit(codes.levels[c] or [""]), F.col(c)).cast("long") for c in order if c in codes.levels}
     if len(coded) == len(order):
         place = (coded["year"] * (MOST + 1) + coded["week_no"]) * (MOST + 1) + F.coalesce(coded["location_code"], F.lit(0))
@@ -96,16 +99,16 @@ def _rolled_up(periodic: DataFrame, keys: list[str]) -> DataFrame:
     return own.decode(own.encode(periodic.withColumn("_place", place)).groupBy(*keys).agg(*_rollup_aggs(keys)))
 
 
-def rollup_by_store(periodic: DataFrame) -> DataFrame:
+def rollup_by_store(periodic: DataFrame, written: DataFrame | None = None) -> DataFrame:
     """AG7 + AG9: one row per (period, item, store). Opening stock is the
     quantity of the period's first week; flows are summed, money averaged."""
-    return _rolled_up(periodic, ["period", "item_no", "location_code"])
+    return _rolled_up(periodic, ["period", "item_no", "location_code"], written)
 
 
-def rollup_by_store_type(periodic: DataFrame) -> DataFrame:
+def rollup_by_store_type(periodic: DataFrame, written: DataFrame | None = None) -> DataFrame:
     """AG8 + AG9: one row per (period, item, state, store type). Opening stock is that of the group's first store
     (by code) in its first week; flows are summed over the stores, money averaged."""
-    return _rolled_up(periodic, ["period", "item_no", "state", "store_type"])
+    return _rolled_up(periodic, ["period", "item_no", "state", "store_type"], written)
 
 
 def stores_per_period(periodic: DataFrame) -> DataFrame:

@@ -192,9 +192,18 @@ class WeeklySummary:
         out = attach_dimensions(self.cells(), self.t.store_master, items, self.t.area_codes)
         if not materialized:
             return out
-        key = (app_key(self.t.spark), self.t.sf_dir, self.t.grain, self.min_qty, self.max_qty,
-               self.brand_from_sales)
+        key = _summary_key(self.t, self.min_qty, self.max_qty, self.brand_from_sales)
         if key not in _SUMMARIES:
             from ..session import materialize
             _SUMMARIES[key] = materialize(out, f"weekly-summary-{self.t.grain}")
         return _SUMMARIES[key]
+
+
+def _summary_key(t, *settings) -> tuple:
+    return (app_key(t.spark), t.sf_dir, t.grain, *settings)
+
+
+def written_summary(t) -> DataFrame:
+    """The written weekly summary of the usual settings; nothing of it is planned again once it is there."""
+    found = _SUMMARIES.get(_summary_key(t, 0, 2, True))
+    return WeeklySummary(t).summary(materialized=True) if found is None else found

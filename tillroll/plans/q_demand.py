@@ -6,7 +6,7 @@ from ..operators import pareto as PA
 from ..operators import periodic as P
 from ..operators import quality as Q
 from ..operators import share as SH
-from ..operators.weekly import WeeklySummary
+from ..operators.weekly import written_summary
 from ..session import app_key, materialize
 from ..sources.testdata import RetailTables
 from . import sql_demand as S
@@ -43,8 +43,8 @@ class DemandChain:
     def _build(self, spark, sf_dir):
         t = RetailTables(spark, sf_dir, "sku")
         self.t = t
-        summary = WeeklySummary(t).summary(materialized=True)
-        rolled = P.rollup_by_store_type(P.with_periods(summary, PERIOD_WEEKS, t.stores_to_be_removed))
+        summary = written_summary(t)
+        rolled = P.rollup_by_store_type(P.with_periods(summary, PERIOD_WEEKS, t.stores_to_be_removed), summary)
         self.kept = materialize(Q.drop_never_sold(rolled), "demand-kept")
         self.mapping = PA.item_pareto_mapping(self.kept, ITEM_SHARE, ITEM_MIN_LEVELS)
         self.lumped = PA.apply_item_pareto(self.kept, self.mapping, "Others", True, PA.ITEM_COLS)
