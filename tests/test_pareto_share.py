@@ -49,7 +49,7 @@ def test_log_share_cases(spark):
     import math
     assert math.isclose(out["A"], math.log(1e-5))   # zero sales -> 1e-5
     assert "B" not in out                               # sales equal to market: so = 0, dropped
-    assert out["C"] is None                             # above market: negative ratio -> NULL
+    assert "C" not in out                               # above market: negative ratio, no finite log share, dropped (PF20)
     assert math.isclose(out["D"], math.log(10 / 40))
 
 
