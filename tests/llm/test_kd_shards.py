@@ -94,6 +94,27 @@ def test_target_bytes_and_odd_rows(odd_docs, no_docs, tmp_path, spark):
             assert (r["size"], r.text_crc32) == (16, 0)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert kd_shards(no_docs, shards=5).count() == 0
-    write_shards(odd_docs, kd_shards(odd_docs, shards=3), str(tmp_path / "out"))
+    write_shards(odd_docs, str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == odd_docs.count() and set(odd_docs.columns) <= set(back.columns)
+
+
+def test_a_third_is_one_row(spark, tmp_path):
+    """Rows that nothing tells apart, and rows without an id, are cut like any others."""
+    rows = [(None, "the same text on every one of them", "hot", "en") if i % 3 == 0 else
+            (i // 2, f"text {i} " + "w" * (i % 50), f"s{i % 4}", "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = kd_shards(docs, shards=40).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(got) == 3000 and sorted(slots) == list(range(40))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in got)
+    again = kd_shards(docs.repartition(5), shards=40).collect()
+    place = lambda found: sorted((r.doc_id is None, r.doc_id or 0, r.text_crc32, r.shard) for r in found)
+    assert place(got) == place(again)
+    write_shards(docs, str(tmp_path / "out"), shards=40)
+    counts = Counter(r.shard for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert counts == Counter(r.shard for r in got)
