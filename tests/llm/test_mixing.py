@@ -55,6 +55,34 @@ def test_whole_table_against_sql(spark, sf):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
+def hot_docs(spark):
+    """A third of the rows share no id, two thirds of these also one text; other ids stand on two rows."""
+    rows = [(None, "said again and again " + (f"{i} " * (i % 7) if i % 9 == 0 else ""), "a" if i % 2 else "b") if i % 3 == 0 else
+            (i // 4, "w " * (i % 23), ("a", "b", None)[i % 3]) for i in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_rows_without_an_id_are_taken_one_by_one(spark, tmp_path):
+    hot_docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = op6_water_filling_mix(spark, str(tmp_path)).collect()
+    assert len(got) == 3000
+    per = {}
+    for r in mix(docs, repeating_weights(docs)).collect():
+        taken, _ = per.get(r.source, (0, 0))
+        per[r.source] = (taken + r.mix_size * r.mix_copies, r.mix_target)
+        assert r.mix_copies <= 2
+    assert all(0 <= target - taken <= 22 for taken, target in per.values())
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(oracle_sql()["op6_water_filling_mix"])
+    order = lambda rows: sorted(rows, key=str)
+    assert order(tuple(r[x] for x in want.columns) for r in got) == order(want.fetchall())
+    again = mix(docs.repartition(5), repeating_weights(docs)).groupBy("doc_id", "text", "source", "mix_copies").count().collect()
+    once = mix(docs, repeating_weights(docs)).groupBy("doc_id", "text", "source", "mix_copies").count().collect()
+    assert order(map(tuple, again)) == order(map(tuple, once))
+
+
 def test_odd_rows(odd_docs, no_docs):
     one = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = mix(one, repeating_weights(one)).collect()

@@ -6,7 +6,8 @@ shared among the others in proportion until none is above its cap: each step is
 distributed sum over the sources that gives a new water level.
 
 A source is repeated whole as often as its target allows. The rest is a seeded
-sample: documents in the order of a hash of their id, taken as long as they fit. Where
+sample: documents in the order of a hash of their id (where an id repeats, of id, text and the number of
+the copy, so every row has a place of its own), taken as long as they fit. Where
 the next one does not fit, further passes go on behind it with the documents that
 still do, so that the words taken come near the target even where a few
 documents hold most words. The order is never sorted out: the pass ends are
@@ -16,7 +17,7 @@ from its hash, its size and its source's row in the plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, free_name, numbered, table
@@ -29,11 +30,37 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash42(doc_id: Column, seed: int) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def hash42(doc_id: Column, copy: Column, seed: int) -> Column:
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), copy).cast("binary"))
     return F.shiftright(F.conv(F.substring(digest, 1, 11), 16, 10).cast("long"), 2)
 
 
+def with_copy(docs: DataFrame, doc_id: str, text: str, source: str, into: str) -> DataFrame:
+    """``docs`` with ``into``: what tells rows of one id (or of none) apart, empty for an id of one row.
+
+    It holds the text's MD5 and the row's number among the rows equal in id, text and source. Only rows of
+    repeated ids are written (equal rows differ by their place in that table alone); the ids are counted first, so where none
+    repeats nothing is written or shuffled but they. Copies are numbered per part of the table, and the parts' counts,
+    one row a part, are summed up to offsets: a group of a third of all rows is no task's own.
+    """
+    known = F.coalesce(docs[doc_id].cast("string"), F.lit(""))
+    i, p, h, r = (free_name(docs, x) for x in ("mix_id", "mix_part", "mix_digest", "mix_row"))
+    own = docs.withColumn(i, known)
+    twice = checkpointed(docs.select(known.alias(i)).groupBy(i).count().where("count > 1").select(i), "repeated-ids")
+    once = own.join(twice, i, "left_anti").select(*docs.columns, F.lit("").alias(into))
+    digest = F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))
+    again = checkpointed(own.join(twice, i, "left_semi").withColumns(
+        {h: digest, p: F.spark_partition_id(), r: F.monotonically_increasing_id()}), "repeated-rows")
+    same = [i, h, free_name(docs, "mix_of")]
+    rows = again.select(p, r, i, h, F.to_json(F.struct(again[source])).alias(same[2]))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(p, *same).orderBy(r)))
+    parts = rows.groupBy(p, *same).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*same).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    number = rows.join(parts, [p, *same]).select(r, F.concat(F.lit(":"), h, F.lit(":"), F.col("_from") + F.col("_at") - 1).alias(into))
+    return once.unionByName(again.join(number, r).select(*docs.columns, into))
+
+
 def water_level(sources: DataFrame, budget: float, max_epochs: float) -> float | None:
     """The words a unit of weight gets; None if every source is at its cap.
 
@@ -91,12 +118,14 @@ def mix(docs: DataFrame, weights: DataFrame, fraction: float = 1.5, max_epochs:
     own; a source without a row weighs nothing. The budget is ``fraction`` of all
     words; sizes count runs of non-white-space (null: 0). A source of no words
     has the target 0, and its documents are taken 0 times or as often as whole.
-    Rows that share an id share their place in the sample. An empty table gives no
-    rows. Clashing names in ``docs`` get their underscores on the new columns.
+    Rows that share an id or have none are taken one by one; of equal rows as many are taken on every run.
+    An empty table gives no rows. Clashing names in ``docs`` get their underscores on the new columns.
     """
-    none, src = docs[source].isNull(), F.coalesce(docs[source], F.lit(""))
-    size, key = words_in(docs[text]), hash42(docs[doc_id], seed)
-    rows = checkpointed(docs.select(none.alias("none"), src.alias("src"), size.alias("size"), key.alias("key")), "mixing")
+    copy = free_name(docs, "mix_copy")
+    each = with_copy(docs, doc_id, text, source, copy)
+    none, src = each[source].isNull(), F.coalesce(each[source], F.lit(""))
+    size, key = words_in(each[text]), hash42(each[doc_id], each[copy], seed)
+    rows = checkpointed(each.select(none.alias("none"), src.alias("src"), size.alias("size"), key.alias("key")), "mixing")
     wanted = weights.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("src"), "weight")
     plan = mixing_plan(rows, wanted, fraction, max_epochs)
     s, k, n, c = (free_name(docs, x) for x in ("mix_size", "mix_key", "mix_none", "mix_src"))
@@ -104,7 +133,7 @@ def mix(docs: DataFrame, weights: DataFrame, fraction: float = 1.5, max_epochs:
     per_source = plan.select(F.col("none").alias(n), F.col("src").alias(c), F.col("size").alias(total),
                              F.col("target").alias(target), F.struct("whole", *[f"cut{p}" for p in range(1, FILL_PASSES + 1)],
                                                                     *[f"gap{p}" for p in range(1, FILL_PASSES)]).alias(how))
-    own = docs.withColumns({n: none, c: src, s: size, k: key})
+    own = each.withColumns({n: none, c: src, s: size, k: key})
     joined = own.join(per_source, [n, c])
     taken = F.col(k) < F.col(f"{how}.cut1")
     for p in range(2, FILL_PASSES + 1):
@@ -160,8 +189,11 @@ plan{p} as (
 with doc as (
   select doc_id, source is null as none, coalesce(source, '') as src,
          cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size,
-         cast('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), '')), 1, 11) as bigint) // 4 as key
-  from documents),
+         cast('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), '') || case when same_id > 1
+                then ':' || md5(coalesce(text, '')) || ':' || copy else '' end), 1, 11) as bigint) // 4 as key
+  from (select doc_id, source, text, count(*) over (partition by coalesce(cast(doc_id as varchar), '')) as same_id,
+               row_number() over (partition by coalesce(cast(doc_id as varchar), ''), md5(coalesce(text, '')), source) - 1 as copy
+        from documents)),
 source_size as (select none, src, cast(sum(size) as bigint) as total from doc group by none, src),
 weighed as (
   select *, cast([5, 2, 1][(row_number() over (order by none, src) - 1) % 3 + 1] as double) as w, total * 2.0::double as cap
