@@ -91,6 +91,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFr
     """(toxic, part, text) of the bounded sample; part 0 sets the threshold, parts 1 to 3 are counted.
 
     Rows whose id's CRC-32 leaves no rest by ``FOLDS`` are held out. An id with several labels has the larger.
+    The bound counts rows: where labelled ids repeat in ``docs``, only the first rows by id hash and text hash are taken.
     """
     own = (labels.where("doc_id is not null and toxic is not null").where(crc32_of_id(F.col("doc_id")) % FOLDS != 0)
            .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id")))
@@ -98,7 +99,10 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFr
         own.where("toxic = 0").orderBy("h", "doc_id").limit(ORDINARY_ROWS))
     some = checkpointed(some.select(F.col("doc_id").alias("id"), "toxic", F.pmod("h", F.lit(4)).alias("part")), "sample-ids")
     rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"))
-    return checkpointed(rows.join(F.broadcast(some), "id").select("toxic", "part", "text"), "sample")
+    found = rows.join(F.broadcast(some), "id").withColumns({"h": F.xxhash64("id"), "t": F.xxhash64("text")})
+    found = found.where("toxic = 1").orderBy("h", "t", "text").limit(TOXIC_ROWS).unionByName(
+        found.where("toxic = 0").orderBy("h", "t", "text").limit(ORDINARY_ROWS))
+    return checkpointed(found.select("toxic", "part", "text"), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -156,11 +160,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     ``labels``: (doc_id, toxic 0/1, null: none). Null and empty texts have no
     words and get the score of no evidence; repeated rows are scored alike. Only the text is an input.
     Without labels of both classes the score is the share of toxic ones (0 without labels). An empty table
-    gives no rows. All columns of ``docs`` are kept.
+    gives no rows. All columns of ``docs`` are kept; where they have a name of ``into``, the new column gets underscores.
     """
     model = fit(docs, labels, doc_id, text)
-    scored = with_values(docs, text, lambda ts: [model.score(t) for t in ts], into[0], T.DoubleType())
-    return scored.withColumn(into[1], (F.col(into[0]) >= 0.5).cast("int"))
+    score, predicted = (free_name(docs, x) for x in into)
+    scored = with_values(docs, text, lambda ts: [model.score(t) for t in ts], score, T.DoubleType())
+    return scored.withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
