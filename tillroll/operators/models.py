@@ -2,14 +2,15 @@
 
 Every model is a ``pyspark.ml`` estimator fitted on a distributed DataFrame;
 metrics are single aggregations. Linear discriminant analysis (not in
-``pyspark.ml``) is built from distributed class sums and a driver-side solve of
+``pyspark.ml``) is built from two distributed passes and a driver-side solve of
 a d x d system; the zero-inflated Poisson model is an EM loop of weighted
-Spark ML fits with checkpoints between iterations.
+Spark ML fits that ends when the likelihood no longer grows.
 """
 
 from __future__ import annotations
 
 import random
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -159,87 +160,120 @@ def cross_validate(train: DataFrame, estimator, param_maps: list[dict], keys: li
 def lda_fit(train: DataFrame, label: str = "label", features: str = "features", shrink: float = 1e-6):
     """ML9: LDA with a pooled within-class covariance.
 
-    Per class, ``Summarizer`` (mean, variance, count) and ``Correlation`` run
-    as distributed JVM aggregations over the vector column; only d x d
-    matrices (d = number of features) come back, and the driver solves the
-    small linear system.
+    Two distributed passes whatever the number of classes: counts and means of all classes, and the covariance of
+    all rows (``RowMatrix``: blocks added up as a tree in the JVM). The within-class scatter is the total one less
+    that of the class means. Only d x d numbers (d = features) reach the driver, which solves the system
+    by Cholesky on standardised features with ``shrink`` on the diagonal (one-hot levels are collinear).
     """
-    from pyspark.ml.stat import Correlation, Summarizer
-    classes = [r[0] for r in train.select(F.col(label).cast("int")).distinct().collect()]
-    classes.sort()
-    stats, within, total = {}, None, 0
+    from pyspark.ml.stat import Summarizer
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    known = train.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("c"), F.col(features).alias("x"))
+    per = known.groupBy("c").agg(Summarizer.metrics("mean", "count").summary(F.col("x")).alias("s")).select("c", "s.*").collect()
+    count = {r["c"]: int(r["count"]) for r in per}
+    mean = {r["c"]: r["mean"].toArray() for r in per}
+    classes, total = sorted(count), sum(count.values())
+    centre = sum(count[c] * mean[c] for c in classes) / total
+    scatter = RowMatrix(MLUtils.convertVectorColumnsFromML(known.select("x"), "x")).computeCovariance().toArray() * (total - 1)
+    between = sum(count[c] * np.outer(mean[c] - centre, mean[c] - centre) for c in classes)
+    pooled = (scatter - between) / max(total - len(classes), 1)
+    sd = np.sqrt(np.maximum(np.diag(pooled), 0.0))
+    sd = np.where(sd > 0, sd, 1.0)
+    half = np.linalg.cholesky(pooled / np.outer(sd, sd) + shrink * np.eye(len(sd)))
+    coefs, icpt = {}, {}
     for c in classes:
-        sub = train.where(F.col(label).cast("int") == c).select(features)
-        s = sub.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(features)).alias("s")).head()[0]
-        mean = s["mean"].toArray()
-        sd = np.sqrt(s["variance"].toArray())
-        n = int(s["count"])
-        corr = np.nan_to_num(Correlation.corr(sub, features).head()[0].toArray())
-        cov = corr * np.outer(sd, sd)
-        within = (n - 1) * cov if within is None else within + (n - 1) * cov
-        stats[c] = (mean, n)
-        total += n
-    pooled = within / max(total - len(classes), 1) + shrink * np.eye(within.shape[0])
-    inv = np.linalg.pinv(pooled)
-    coefs = {c: inv @ stats[c][0] for c in classes}
-    icpt = {c: float(-0.5 * stats[c][0] @ inv @ stats[c][0] + np.log(stats[c][1] / total)) for c in classes}
+        m = mean[c] - centre
+        coefs[c] = np.linalg.solve(half.T, np.linalg.solve(half, m / sd)) / sd
+        icpt[c] = float(-0.5 * coefs[c] @ (mean[c] + centre) + np.log(count[c] / total))
     return classes, coefs, icpt
 
 
+def _linear(x, weights, intercept: float):
+    """``weights . x + intercept`` of an array column as an expression."""
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(intercept)), lambda acc, v: acc + v)
+
+
 def lda_predict(df: DataFrame, model, features: str = "features") -> DataFrame:
     """Score as a column expression: argmax of linear discriminants."""
     classes, coefs, icpt = model
     x = vector_to_array(features)
-    scores = []
-    for c in classes:
-        w = [float(v) for v in coefs[c]]
-        expr = F.lit(float(icpt[c]))
-        expr = expr + F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in w]), lambda a, b: a * b),
-                                  F.lit(0.0), lambda acc, v: acc + v)
-        scores.append(F.struct(expr.alias("s"), F.lit(int(c)).alias("c")))
+    scores = [F.struct(_linear(x, coefs[c], icpt[c]).alias("s"), F.lit(int(c)).alias("c")) for c in classes]
     best = F.array_max(F.array(*scores))
     return df.withColumn("prediction", best["c"].cast("double"))
 
 
 # -- zero-inflated Poisson ---------------------------------------------------------------
 
-def zip_fit(train: DataFrame, label: str = "label", iterations: int = 5, checkpoint_every: int = 2):
-    """ML11: zero-inflated Poisson by EM.
+class ZeroInflated(NamedTuple):
+    """Logit of the inflation share and log of the Poisson mean, both linear; the log-likelihood a row after every round."""
+    share: np.ndarray
+    share_at: float
+    rate: np.ndarray
+    rate_at: float
+    path: tuple[float, ...] = ()
+
+    def between(self, other: "ZeroInflated") -> "ZeroInflated":
+        return ZeroInflated(*[(a + b) / 2 for a, b in zip(self[:4], other[:4])], self.path)
+
+
+def _zip_parts(model: ZeroInflated):
+    """(pi, log mu) as expressions over ``features``."""
+    x = vector_to_array("features")
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-_linear(x, model.share, model.share_at))), _linear(x, model.rate, model.rate_at)
+
+
+def _zip_likelihood(df: DataFrame, model: ZeroInflated) -> float:
+    """Mean observed-data log-likelihood of the rows (features, _y), less the part that no parameter changes."""
+    some = df.select("_y", _zip_parts(model)[0].alias("pi"), _zip_parts(model)[1].alias("eta"))
+    zero = F.log(F.col("pi") + (1 - F.col("pi")) * F.exp(-F.exp("eta")))
+    more = F.log(1 - F.col("pi")) - F.exp("eta") + F.col("_y") * F.col("eta")
+    return float(some.agg(F.avg(F.when(F.col("_y") == 0, zero).otherwise(more))).first()[0])
+
+
+def zip_fit(train: DataFrame, label: str = "label", most_rounds: int = 50, gain: float = 1e-4, halvings: int = 5) -> ZeroInflated:
+    """ML11: zero-inflated Poisson by EM, until a round adds less than ``gain`` to the mean log-likelihood of a row.
 
-    E-step: the posterior weight that a zero comes from the inflation part,
-    ``w = pi / (pi + (1 - pi) exp(-mu))`` (0 for positive counts) — a column.
-    M-step: a weighted logistic regression for ``pi`` (label w) and a weighted
-    Poisson GLM for ``mu`` (weight 1 - w). Each iteration's frame is
-    checkpointed every few rounds to keep lineage short.
+    E-step: the posterior weight that a zero comes from the inflation part, ``w = pi / (pi + (1 - pi) exp(-mu))`` (0 for
+    positive counts), an expression of the current coefficients. M-step: a weighted logistic regression for ``pi``
+    (weight w) and a weighted Poisson GLM for ``mu`` (weight 1 - w). A step that lowers the likelihood is halved, up to
+    ``halvings`` times. Every round starts from the same rows, so its plan does not grow.
     """
-    from ..session import checkpoint_dir
-    checkpoint_dir(train.sparkSession)
-    df = train.withColumn("_y", F.col(label).cast("double")).withColumn(
-        "_w", F.when(F.col("_y") == 0, F.lit(0.5)).otherwise(F.lit(0.0)))
-    logit = pois = None
-    for i in range(iterations):
-        # M-step: inflation probability as a two-class weighted fit
-        infl = (df.select("features", F.lit(1.0).alias("_z"), F.col("_w").alias("_wt"))
-                  .unionByName(df.select("features", F.lit(0.0).alias("_z"), (1 - F.col("_w")).alias("_wt"))))
+    df = train.select("features", F.col(label).cast("double").alias("_y"))
+    zero, model, best = F.col("_y") == 0, None, -float("inf")
+    path = []
+    for _ in range(most_rounds):
+        if model is None:
+            w = F.lit(0.5)
+        else:
+            pi, eta = _zip_parts(model)
+            w = pi / (pi + (F.lit(1.0) - pi) * F.exp(-F.exp(eta)))
+        # the weights are kept for the fits, which pass over them many times; a lost part is computed again
+        rows = df.withColumn("_w", F.when(zero, w).otherwise(F.lit(0.0))).persist()
+        infl = (rows.select("features", F.lit(1.0).alias("_z"), F.col("_w").alias("_wt")).where("_wt > 0")
+                .unionByName(rows.select("features", F.lit(0.0).alias("_z"), (1 - F.col("_w")).alias("_wt"))))
         logit = LogisticRegression(featuresCol="features", labelCol="_z", weightCol="_wt", maxIter=50).fit(infl)
-        pdata = df.withColumn("_pw", F.lit(1.0) - F.col("_w"))
-        pois = GeneralizedLinearRegression(featuresCol="features", labelCol="_y", weightCol="_pw", family="poisson",
-                                           link="log", maxIter=25).fit(pdata)
-        # E-step
-        scored = pois.transform(logit.transform(df).withColumnRenamed("prediction", "_lp")
-                                .drop("rawPrediction")).withColumnRenamed("prediction", "_mu")
-        pi = vector_to_array("probability")[1]
-        w = F.when(F.col("_y") == 0, pi / (pi + (F.lit(1.0) - pi) * F.exp(-F.col("_mu")))).otherwise(F.lit(0.0))
-        df = scored.select("features", "_y", w.alias("_w"))
-        if (i + 1) % checkpoint_every == 0:
-            df = df.checkpoint(eager=True)
-    return logit, pois
-
-
-def zip_predict(df: DataFrame, model) -> DataFrame:
+        pois = GeneralizedLinearRegression(featuresCol="features", labelCol="_y", weightCol="_pw", family="poisson", link="log",
+                                           maxIter=25, regParam=1e-6).fit(rows.withColumn("_pw", F.lit(1.0) - F.col("_w")))
+        step = ZeroInflated(logit.coefficients.toArray(), float(logit.intercept),
+                            pois.coefficients.toArray(), float(pois.intercept))
+        found = _zip_likelihood(rows, step)
+        for _ in range(halvings):
+            if model is None or found >= best:
+                break
+            step = model.between(step)
+            found = _zip_likelihood(rows, step)
+        rows.unpersist()
+        if model is not None and not found > best:
+            break
+        added, best, model = found - best, found, step
+        path.append(found)
+        if added < gain:
+            break
+    return model._replace(path=tuple(path))
+
+
+def zip_predict(df: DataFrame, model: ZeroInflated) -> DataFrame:
     """Expected count ``(1 - pi) * mu``."""
-    logit, pois = model
-    s = logit.transform(df).withColumnRenamed("prediction", "_lp").drop("rawPrediction")
-    s = pois.transform(s).withColumnRenamed("prediction", "_mu")
-    pi = vector_to_array("probability")[1]
-    return s.withColumn("prediction", (F.lit(1.0) - pi) * F.col("_mu")).drop("probability", "_lp")
+    pi, eta = _zip_parts(model)
+    return df.withColumn("prediction", (F.lit(1.0) - pi) * F.exp(eta))
