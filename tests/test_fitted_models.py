@@ -1,7 +1,6 @@
-"""Fitted models against numpy: linear discriminants and the zero-inflated Poisson."""
+"""Linear discriminants against numpy."""
 
 import numpy as np
-import pytest
 from pyspark.ml.linalg import Vectors
 
 from tillroll.operators import models as M
@@ -32,30 +31,3 @@ def test_collinear_features_have_a_solution(spark):
     y = np.array([0, 1, 0, 0] * 5)
     _, coefs, icpt = M.lda_fit(rows_of(spark, x, y))
     assert all(np.isfinite(c).all() for c in coefs.values()) and all(np.isfinite(v) for v in icpt.values())
-
-
-def zip_likelihood(x, y, m):
-    pi = 1 / (1 + np.exp(-(x @ m.share + m.share_at)))
-    eta = x @ m.rate + m.rate_at
-    return np.mean(np.where(y == 0, np.log(pi + (1 - pi) * np.exp(-np.exp(eta))), np.log(1 - pi) - np.exp(eta) + y * eta))
-
-
-def test_zero_inflated_poisson_against_numpy(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(500, 2))
-    inflated = rng.random(500) < 1 / (1 + np.exp(-(-0.5 + 1.0 * x[:, 0])))
-    y = np.where(inflated, 0, rng.poisson(np.exp(1.0 + 0.4 * x[:, 1])))
-    found = M.zip_fit(rows_of(spark, x, y), gain=1e-5)
-    assert all(b >= a for a, b in zip(found.path, found.path[1:])) and 2 < len(found.path) < 50
-    assert found.path[-1] == pytest.approx(zip_likelihood(x, y, found), abs=1e-9)
-    # gradient ascent of the same likelihood in numpy
-    a = np.column_stack([np.ones(500), x])
-    g, b = np.zeros(3), np.zeros(3)
-    for _ in range(20000):
-        pi, mu = 1 / (1 + np.exp(-a @ g)), np.exp(a @ b)
-        w = np.where(y == 0, pi / (pi + (1 - pi) * np.exp(-mu)), 0.0)
-        g, b = g + 0.5 * a.T @ (w - pi) / 500, b + 0.05 * a.T @ ((1 - w) * (y - mu)) / 500
-    best = zip_likelihood(x, y, M.ZeroInflated(g[1:], g[0], b[1:], b[0]))
-    assert found.path[-1] == pytest.approx(best, abs=1e-3)
-    pred = M.zip_predict(rows_of(spark, x, y), found).collect()
-    assert all(r.prediction > 0 for r in pred)
