@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.fiscal import fiscal_parts, week_label
 from ..operators import facts
 from ..operators import features as FE
-from ..operators import periodic as P
 from ..operators import quality as Q
 from ..operators.selection import row_hash, row_hash_sql
-from ..operators.weekly import WeeklySummary
 from ..sources import files as IO
 from ..sources.testdata import RetailTables, oracle_ctes
 from . import sql_demand as SD
@@ -141,7 +139,4 @@ bad AS (SELECT period FROM pw WHERE period = (SELECT max(period) FROM pw) AND w
 SELECT * EXCLUDE (r) FROM target_b WHERE period NOT IN (SELECT period FROM bad)""")
 def q_complete(spark, sf_dir):
     c = DemandChain(spark, sf_dir)
-    t = RetailTables(spark, sf_dir, "sku")
-    summary = WeeklySummary(t).summary(materialized=True).join(t.stores_to_be_removed, "location_code", "left_anti")
-    periods = P.period_index(summary, PERIOD_WEEKS)
-    return FE.drop_incomplete_last_period(c.target("B"), periods, PERIOD_WEEKS)
+    return FE.drop_incomplete_last_period(c.target("B"), c.periods, PERIOD_WEEKS)
