@@ -1,4 +1,4 @@
-"""Linear discriminants against numpy."""
+"""Linear discriminants against numpy; fits that iterate read their source once."""
 
 import numpy as np
 from pyspark.ml.linalg import Vectors
@@ -31,3 +31,24 @@ def test_collinear_features_have_a_solution(spark):
     y = np.array([0, 1, 0, 0] * 5)
     _, coefs, icpt = M.lda_fit(rows_of(spark, x, y))
     assert all(np.isfinite(c).all() for c in coefs.values()) and all(np.isfinite(v) for v in icpt.values())
+
+
+def counted(spark, df, col):
+    """``df`` with ``col`` through a function that counts its calls."""
+    from pyspark.sql import functions as F
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        calls.add(1)
+        return v
+    return df.withColumn(col, F.udf(seen, df.schema[col].dataType).asNondeterministic()(col)), calls
+
+
+def test_iterations_do_not_read_the_source_rows_again(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{rng.integers(3)}", float(rng.normal()), float(rng.poisson(1.5))) for _ in range(200)]
+    df, calls = counted(spark, spark.createDataFrame(rows, "c string, x double, label double").repartition(2), "label")
+    model = M.fit_pipeline(df, M.poisson_glm(), ["c"], ["x"])
+    assert calls.value <= 400 and len(model.stages) == 4
+    x = M.fit_pipeline(df.drop("label").withColumn("label", df["x"]), M.linear_regression(), ["c"], ["x"]).transform(df)
+    assert all(abs(r.prediction - r.x) < 1e-6 for r in x.collect())
