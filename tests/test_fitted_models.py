@@ -52,3 +52,25 @@ def test_iterations_do_not_read_the_source_rows_again(spark):
     assert calls.value <= 400 and len(model.stages) == 4
     x = M.fit_pipeline(df.drop("label").withColumn("label", df["x"]), M.linear_regression(), ["c"], ["x"]).transform(df)
     assert all(abs(r.prediction - r.x) < 1e-6 for r in x.collect())
+
+
+def test_rounds_of_the_zero_inflated_fit_do_not_read_the_source_rows_again(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2))
+    y = np.where(rng.random(300) < 0.4, 0, rng.poisson(np.exp(0.5 + 0.3 * x[:, 0])))
+    df, calls = counted(spark, rows_of(spark, x, y), "label")
+    logit, pois = M.zip_fit(df, iterations=3)
+    assert calls.value <= 300
+    # the rounds written out with numpy's weights, one Spark fit after the other
+    pi = lambda: 1 / (1 + np.exp(-(x @ logit2.coefficients.toArray() + logit2.intercept)))
+    w, logit2, pois2 = np.where(y == 0, 0.5, 0.0), None, None
+    for _ in range(3):
+        both = [(Vectors.dense(a), z, float(v)) for a, b in zip(x, w) for z, v in ((1.0, b), (0.0, 1 - b))]
+        logit2 = M.LogisticRegression(labelCol="z", weightCol="w", maxIter=50).fit(spark.createDataFrame(both, ["features", "z", "w"]))
+        own = [(Vectors.dense(a), float(b), float(1 - v)) for a, b, v in zip(x, y, w)]
+        pois2 = M.GeneralizedLinearRegression(labelCol="y", weightCol="w", family="poisson", link="log", maxIter=25).fit(
+            spark.createDataFrame(own, ["features", "y", "w"]))
+        mu = np.exp(x @ pois2.coefficients.toArray() + pois2.intercept)
+        w = np.where(y == 0, pi() / (pi() + (1 - pi()) * np.exp(-mu)), 0.0)
+    assert np.allclose(pois.coefficients.toArray(), pois2.coefficients.toArray(), atol=1e-4)
+    assert np.allclose(logit.coefficients.toArray(), logit2.coefficients.toArray(), atol=1e-2)
