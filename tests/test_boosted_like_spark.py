@@ -47,9 +47,9 @@ def test_fits_equal_spark_ml(frame, kind, of, monkeypatch):
 
 def test_columns_drawn_for_a_node(frame):
     est = GBTRegressor(labelCol="y", maxIter=3, maxDepth=3, featureSubsetStrategy="0.3", seed=42)
-    fitted = M.fit_pipeline(frame, est, CATS, NUMS)
+    fitted = B.fit(frame, est, CATS, NUMS)
     assert fitted.settings.node_columns == 5  # 6 + 2 levels, two columns of unknown levels each, two numbers: 14 columns
-    again = M.fit_pipeline(frame.repartition(5), est, CATS, NUMS)
+    again = B.fit(frame.repartition(5), est, CATS, NUMS)
     assert [[x.tolist() for x in t[:5]] for t in fitted.trees] == [[x.tolist() for x in t[:5]] for t in again.trees]
     whole = M.fit_pipeline(frame, est.copy({est.featureSubsetStrategy: "all"}), CATS, NUMS)
     err = [
